@@ -92,6 +92,39 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limi
         yield block
 
 
+def _matcher(sent: list, width: int):
+    """Words, hit words and items of texts; of several automata one is in memory at a time."""
+    single = build(sent[0].value, width) if len(sent) == 1 else None
+
+    def match(texts: list):
+        words = [normal_words(t) for t in texts]
+        hits = [np.zeros(len(w), bool) for w in words]
+        items: list[set] = [set() for _ in words]
+        for block in sent:
+            a = single or build(block.value, width)
+            for w, h, i in zip(words, hits, items):
+                scan(w, a, h, i)
+        return words, hits, items
+
+    return match
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, min_share: int = 20, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """``docs``, all columns, without contaminated rows: those of whose words at least one in ``min_share`` is hit."""
+    spark = docs.sparkSession
+    prepare(spark)
+    sent = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, width, automaton_chars)]
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = _matcher(sent, width)
+        for b in batches:
+            words, hits, _ = match(b.column(at).to_pylist())
+            yield b.filter(pa.array([not (0 < h.sum() and h.sum() * min_share >= len(w)) for w, h in zip(words, hits)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, items, spans``.
 
@@ -105,16 +138,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sent = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, width, automaton_chars)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = build(sent[0].value, width) if len(sent) == 1 else None
+        match = _matcher(sent, width)
         for b in batches:
             texts = b.column(1).to_pylist()
-            words = [normal_words(t) for t in texts]
-            hits = [np.zeros(len(w), bool) for w in words]
-            items: list[set] = [set() for _ in words]
-            for block in sent:
-                a = single or build(block.value, width)
-                for w, h, i in zip(words, hits, items):
-                    scan(w, a, h, i)
+            words, hits, items = match(texts)
             yield pa.record_batch(
                 [
                     b.column(0),

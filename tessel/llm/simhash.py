@@ -203,3 +203,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def fingerprint_hex(col: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs``, all columns, with one document of each group: the one whose id names it. Rows without an id stay."""
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
