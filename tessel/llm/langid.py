@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from .runtime import prepare
 from .text import mix64, spans, text_buffer
 
-#: The classifier is fitted on at most so many labelled documents of a language (those first in a hash order).
-SAMPLE_PER_LANG = 1_500
+#: The classifier is fitted on at most so many labelled documents of a language, and on over half of that if there are.
+SAMPLE_PER_LANG = 3_000
 #: An n-gram enters a language's slice if it is in so many sampled documents, and this share of the most common's.
 MIN_DOCS = 3
 GRAM = 5
 SLOTS = 1 << 21
 HASHES = 3
+#: Documents of whose n-grams no language knows so large a share are in none of them.
+LEAST_KNOWN = 0.2
 #: Slices of the mask: a bit for each language.
 MAX_LANGS = 64
 
@@ -90,21 +92,28 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Fit on labelled rows: at most ``sample`` documents of each language, whole texts.
 
     Document counts of n-grams are made in Spark; the driver gets the n-grams that enter, whose number the sample
-    bounds. Rows with a null language or text teach nothing. No labelled row gives a filter without languages.
+    bounds. Rows with a null language, text or id teach nothing. No labelled row gives a filter without languages.
     """
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in src.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
+    seen = src.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(seen) > MAX_LANGS:
         raise ValueError(f"at most {MAX_LANGS} languages")
+    langs = [r["lang"] for r in sorted(seen, key=lambda r: (-r["count"], r["lang"]))]
     if not langs:
         return MaskFilter([], np.zeros(SLOTS, np.uint8), np.zeros(0))
-    keyed = src.withColumn("turn", F.xxhash64(F.col("id").cast("string"), "text"))
-    picked = None
-    for lang in langs:
-        one = keyed.where(F.col("lang") == lang).select("turn", "lang", "text").orderBy("turn").limit(sample)
-        picked = one if picked is None else picked.union(one)
+    # documents whose hashed id begins with z zero bits are a 2**-z share; counts by z say which z to take
+    zeros = 64 - F.length(F.bin(F.xxhash64(F.col("id").cast("string"))))
+    keyed = src.where("id is not null").withColumn("zeros", zeros)
+    by: dict[str, dict[int, int]] = {}
+    for r in keyed.groupBy("lang", "zeros").count().collect():
+        by.setdefault(r["lang"], {})[r["zeros"]] = r["count"]
+    least = {lang: next(z for z in range(65) if sum(c for k, c in n.items() if k >= z) <= sample) for lang, n in by.items()}
+    taken = F.lit(False)
+    for lang, z in sorted(least.items()):
+        taken = taken | ((F.col("lang") == lang) & (F.col("zeros") >= z))
+    picked = keyed.where(taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,38 +149,57 @@ def score_texts(col: pa.Array, f: MaskFilter) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(hits, 0), total
 
 
+def predict(col: pa.Array, f: MaskFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and known share of each text; see ``identify``. The share of a text without n-grams is NaN."""
+    letter = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    names = np.array([*f.langs, "und"], object)
+    if not f.langs or not len(col):
+        return np.full(len(col), "und", object), np.zeros(len(col)), np.full(len(col), np.nan)
+    hits, total = score_texts(col, f)
+    best = hits.argmax(axis=1)
+    top, all_ = hits[np.arange(len(best)), best], hits.sum(axis=1)
+    score = np.where(letter & (all_ > 0), top / np.maximum(all_, 1e-12), 0.0)
+    known = np.where(total > 0, np.minimum(1.0, top / np.maximum(total, 1)), np.nan)
+    return names[np.where(letter, best, len(f.langs))], score, known
+
+
 def identify(docs: DataFrame, f: MaskFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, lang_pred, score, known``.
 
     ``lang_pred`` is a learned language, or ``und`` for a null text or one without a letter (score 0), and for all if
     nothing was learned. ``score`` is the best language's share of all corrected hits; ``known`` is the share of the
-    text's n-grams that the best language contains. Ties go to the language first in order. Whole texts are read;
-    texts too short for an n-gram get the first language with score 0.
+    text's n-grams that the best language contains. Ties go to the language that taught more documents. Whole texts are read;
+    texts too short for an n-gram get the most frequent language with score 0.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = sent.value
-        names = np.array([*f.langs, "und"], object)
         for b in batches:
-            col = b.column(1)
-            letter = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            hits, total = score_texts(col, f)
-            if f.langs:
-                best = hits.argmax(axis=1)
-                top, all_ = hits[np.arange(len(best)), best], hits.sum(axis=1)
-                best = np.where(letter, best, len(f.langs))
-                score = np.where(letter & (all_ > 0), top / np.maximum(all_, 1e-12), 0.0)
-                known = np.where(letter, np.minimum(1.0, top / np.maximum(total, 1)), 0.0)
-            else:
-                best, score, known = np.zeros(len(letter), int), np.zeros(len(letter)), np.zeros(len(letter))
-            yield pa.record_batch([b.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(known)], names=["doc_id", "lang_pred", "score", "known"])
+            lang, score, known = predict(b.column(1), sent.value)
+            yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(np.nan_to_num(known))], names=["doc_id", "lang_pred", "score", "known"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, known double")
 
 
+def keep_identified(docs: DataFrame, f: MaskFilter, text_col: str = "text", least_known: float = LEAST_KNOWN) -> DataFrame:
+    """``docs``, all columns, without rows whose language is ``und`` or of whose n-grams the best language knows a
+    smaller share than ``least_known``; a text too short for an n-gram stays. Nothing is shuffled. A filter that learned nothing keeps every row."""
+    if not f.langs:
+        return docs
+    prepare(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(f)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _, known = predict(b.column(at), sent.value)
+            yield b.filter(pa.array((lang != "und") & ~(known < least_known)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int, id_col: str = "doc_id"):
     """crc32 of the id as text leaves 2; a null id is in no held-out fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == 2, F.lit(False))
