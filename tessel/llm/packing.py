@@ -142,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
     sent = spark.sparkContext.broadcast(_by_length(runs))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_file.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).select(
+    ranked = pieces.join(base.hint("merge"), (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
@@ -17,6 +18,23 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Ids of words; a word not seen before is encoded on the way."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = out = b"".join([i.to_bytes(4, "little") for i in self.encode(word)])
+        return out
+
+
+#: The file's pattern for the standard library's faster engine, and the texts on which the two may differ.
+_FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_SLOW_TEXT = "[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]"
+
+
 class ByteBpe:
     """Ids as ``tokenizers`` gives them with ``add_special_tokens=False``, as little-endian uint32 bytes.
 
@@ -38,9 +56,10 @@ class ByteBpe:
             vocab = json.load(f)["model"]["vocab"]
         byte = _byte_of_char()
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in self.added}
-        self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known = _Known(enc.encode_ordinary)
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, bytes] = {}
+        self.fast, self.slow_text = re.compile(_FAST).findall, re.compile(_SLOW_TEXT).search
 
     def reference(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,15 +67,7 @@ class ByteBpe:
     def ids(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return self.reference(text)
-        words = self.find(text)
-        cache = self.cache
-        missing = {w for w in words if w not in cache}
-        if missing:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                missing = set(words)
-            encode = self.encode
-            for w in missing:
-                ids = encode(w)
-                cache[w] = b"".join([i.to_bytes(4, "little") for i in ids])
-        return b"".join([cache[w] for w in words])
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        words = self.find(text) if self.slow_text(text) else self.fast(text)
+        return b"".join(map(self.known.__getitem__, words))
