@@ -115,8 +115,8 @@ def test_reordering_narrows_a_shuffled_band(spark):
 def test_jacobi_converges(spark):
     a = np.array([[4.0, 1, 0], [1, 5, 2], [0, 2, 6]])
     b = np.array([1.0, 2, 3])
-    e = spark.createDataFrame([(i, j, a[i, j]) for i in range(3) for j in range(3) if a[i, j]], "i long, j long, v double")
-    rhs = spark.createDataFrame([(i, 0, b[i]) for i in range(3)], "i long, c long, x double")
+    e = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(3) for j in range(3) if a[i, j]], "i long, j long, v double")
+    rhs = spark.createDataFrame([(i, 0, float(b[i])) for i in range(3)], "i long, c long, x double")
     for fused in (False, True):
         x, done = J.jacobi_solve(e, rhs, eps=1e-10, max_iter=100, fused=fused)
         got = [r["x"] for r in x.orderBy("i").collect()]
