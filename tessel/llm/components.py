@@ -12,8 +12,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label each node of ``edges(a, b)`` (longs) with the smallest node that it reaches.
 
     Returns ``node, component`` for nodes that have a link to another node; a self link or an empty table adds
-    nothing. Null ends are ignored. Each round is a few equi-joins whose one side has a row per key, and a checkpoint
-    in the shared folder cuts the lineage. Rounds grow with the logarithm of the longest path.
+    nothing. Null ends are ignored. Each round is a few equi-joins whose one side has a row per key, and is written to
+    the shared folder, which cuts the lineage. Rounds grow with the logarithm of the longest path.
     """
     e = (
         edges.where(F.col("a") != F.col("b"))
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low2, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, now = _settle(moved.union(low2.select("u", F.col("m").alias("v"))).distinct())
+        e, now = _settle(moved.union(low2.select("u", F.col("m").alias("v"))).distinct(), e)
         if now == mark:
             break
         mark = now
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 
 
-def _settle(e: DataFrame) -> tuple[DataFrame, tuple]:
-    e = cut(e)
+def _settle(e: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, tuple]:
+    e = cut(e, old)
     row = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return e, (row[0], row[1])

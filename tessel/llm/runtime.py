@@ -47,13 +47,20 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder; files go when the frame is garbage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessel_path = path
+    return out
+
+
+def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """``written`` for a loop: ``old``, what an earlier round wrote and no plan needs any longer, is deleted. Plans over
+    files have the files' sizes; sizes guessed over a checkpoint would grow with every round."""
+    out = written(df, "round")
+    if old is not None:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(old._tessel_path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return out
 
 
 class SharedFiles:
