@@ -117,8 +117,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, text, wanted`` of the documents that hold wanted lines ``doc_id, line_no, h``."""
-    per_doc = wanted.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
-    return docs.join(per_doc, docs.doc_id.eqNullSafe(F.col("_d"))).select("doc_id", "text", "wanted")
+    per_doc = wanted.groupBy(F.col("doc_id").alias("__tessel_doc")).agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
+    return docs.join(per_doc, docs.doc_id.eqNullSafe(F.col("__tessel_doc"))).select("doc_id", "text", "wanted")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -158,6 +158,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = true.groupBy("h").agg(F.min(place).alias("partner")).select(F.col("h").alias("bh"), "partner")
 
     doubled = classes.select(F.col("h").alias("ch"), "first", "last").join(best, F.col("ch") == F.col("bh"), "left").where("first <> last or partner is not null")
+    # written, so that the last join has a plain exchange on either side and hot classes are split
+    doubled = written(doubled.select("ch", "first", "partner"), "line-doubles")
     hit = lines.join(doubled, lines.h == F.col("ch"))
     keeper = F.least("first", F.coalesce("partner", "first"))
     out = hit.withColumn("keeper", keeper).where("keeper < struct(doc_id, line_no)")
@@ -167,7 +169,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the dropped lines (``doc_id, line_no``) taken out of its texts; other columns stay."""
-    per_doc = dropped.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line_no").alias("_drop"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)
-    return docs.join(per_doc, docs[id_col].eqNullSafe(F.col("_d")), "left").withColumn(text_col, text).drop("_d", "_drop")
+    per_doc = dropped.groupBy(F.col("doc_id").alias("__tessel_doc")).agg(F.collect_set("line_no").alias("__tessel_drop"))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__tessel_drop", i)), "\n")
+    text = F.when(F.col("__tessel_drop").isNull(), F.col(text_col)).otherwise(kept)
+    return docs.join(per_doc, docs[id_col].eqNullSafe(F.col("__tessel_doc")), "left").withColumn(text_col, text).drop("__tessel_doc", "__tessel_drop")
