@@ -351,13 +351,13 @@ def wavefront_schedule(colours: DataFrame, n: int, tile: int, k_tiles: int = 1)
 
 def combined_schedule(colours: DataFrame, n: int, tile: int, least: int) -> DataFrame:
     """``kind, colour, lo, hi``: colours with at least ``least`` tiles run in parallel, tile by tile; tiles of the
-    others go to a sequential region in which neighbours are merged into one tile."""
+    others go to a sequential region (colour -1) in which neighbours are merged into one tile."""
     w = colours.withColumn("m", F.count("*").over(Window.partitionBy("colour")))
     end = F.least(F.lit(n), (F.col("last") + 1) * tile)
     par = w.where(F.col("m") >= least).select(F.lit("parallel").alias("kind"), "colour", F.col("tile").alias("first"), F.col("tile").alias("last"))
     seq = ranked(w.where(F.col("m") < least).select("tile"), "tile")
     seq = seq.groupBy(F.col("tile") - F.col("rank")).agg(F.min("tile").alias("first"), F.max("tile").alias("last"))
-    seq = seq.select(F.lit("sequential").alias("kind"), F.lit(None).cast("int").alias("colour"), "first", "last")
+    seq = seq.select(F.lit("sequential").alias("kind"), F.lit(-1).alias("colour"), "first", "last")
     return par.union(seq).select("kind", "colour", (F.col("first") * tile).alias("lo"), end.alias("hi"))
 
 

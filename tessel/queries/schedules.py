@@ -180,7 +180,7 @@ def _(f):
 
 
 @query("p17_combined_schedule", """SELECT 'parallel' AS kind, colour, tile * 20 AS lo, least(n, (tile + 1) * 20) AS hi FROM big, n
-  UNION ALL SELECT 'sequential', NULL, min(tile) * 20, least(any_value(n), (max(tile) + 1) * 20) FROM (SELECT tile, tile - row_number() OVER (ORDER BY tile) AS g FROM small), n GROUP BY g""", _COL + ", cnt AS (SELECT colour, count(*) AS m FROM col GROUP BY colour), big AS (SELECT col.* FROM col JOIN cnt USING (colour) WHERE m >= 6), small AS (SELECT col.* FROM col JOIN cnt USING (colour) WHERE m < 6)")
+  UNION ALL SELECT 'sequential', -1, min(tile) * 20, least(any_value(n), (max(tile) + 1) * 20) FROM (SELECT tile, tile - row_number() OVER (ORDER BY tile) AS g FROM small), n GROUP BY g""", _COL + ", cnt AS (SELECT colour, count(*) AS m FROM col GROUP BY colour), big AS (SELECT col.* FROM col JOIN cnt USING (colour) WHERE m >= 6), small AS (SELECT col.* FROM col JOIN cnt USING (colour) WHERE m < 6)")
 def _(f):
     return T.combined_schedule(_colours(f), f.n, 20, 6)
 
