@@ -32,7 +32,7 @@ MIN_WORDS = 20
 #: Any shared run of so many words is found; windows of WINDOW words are compared.
 GUARANTEE = 50
 WINDOW = 20
-#: Distinct paragraphs in one bucket above which it is dealt out in pairs of blocks.
+#: Distinct paragraphs in one bucket above which it is dealt out in pairs of blocks of half as many.
 BLOCK = 5_000
 
 
@@ -143,59 +143,21 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
     return run
 
 
-def _shared(block: int):
-    """Members of buckets with two or more, from rows sorted by key; a large bucket goes to all pairs of its blocks."""
+def bucket_members(banded: DataFrame, block: int) -> DataFrame:
+    """``key, sub, h`` of the buckets to compare, from ``key, h`` of all of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def flush():
-            m = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
-            if len(m) < 2:
-                return None
-            n = -(-len(m) // block)
-            mark = np.bitwise_xor.reduce(signed(mix64(m.view(np.uint64))))
-            if n == 1:
-                return m, np.zeros(len(m), np.int32), np.full(len(m), now), np.full(len(m), mark)
-            of = np.arange(len(m)) % n
-            hs, subs = [], []
-            for i in range(n):
-                for j in range(i, n) if n > 1 else ():
-                    pick = m[(of == i) | (of == j)]
-                    hs.append(pick)
-                    subs.append(np.full(len(pick), i * n + j, np.int32))
-            h = np.concatenate(hs)
-            return h, np.concatenate(subs), np.full(len(h), now), np.full(len(h), mark)
-
-        done: list[tuple] = []
-
-        def batch():
-            h, sub, key, mark = (np.concatenate(x) for x in zip(*done))
-            done.clear()
-            return pa.record_batch([pa.array(key.astype(np.int64)), pa.array(sub), pa.array(h), pa.array(mark.astype(np.int64))], names=["key", "sub", "h", "mark"])
-
-        for b in batches:
-            key, h = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(key):
-                continue
-            edge = np.flatnonzero(key[1:] != key[:-1]) + 1
-            lo, hi = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
-            open_ = hi - lo > 1
-            open_[[0, -1]] = True
-            for s, e in zip(lo[open_].tolist(), hi[open_].tolist()):
-                if key[s] != now:
-                    if (out := flush()) is not None:
-                        done.append(out)
-                    now, held = key[s], []
-                held.append(h[s:e])
-            if done:
-                yield batch()
-        if (out := flush()) is not None:
-            done.append(out)
-        if done:
-            yield batch()
-
-    return run
+    Counts and an XOR of member hashes show which buckets have one member and which repeat another bucket's; neither
+    is gathered. Members of a bucket above ``block`` are dealt by their hash into blocks of half that size, and go to
+    every pair of blocks (``sub``) that theirs is in, so that each two members meet and no group exceeds ``block``
+    but by chance.
+    """
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("mark")).where("n > 1")
+    once = sizes.groupBy("mark", "n").agg(F.min("key").alias("k")).select("k", F.when(F.col("n") > block, F.ceil(2 * F.col("n") / block)).otherwise(1).cast("long").alias("blocks"))
+    mine = F.pmod(F.xxhash64(F.lit(1), "h"), "blocks")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != mine)
+    pairs = F.transform(others, lambda j: F.least(j, mine) * F.col("blocks") + F.greatest(j, mine))
+    sub = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    return banded.join(once, F.col("key") == F.col("k")).select("key", F.explode(sub).alias("sub"), "h")
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +256,7 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands")), "paragraph-classes")
 
     banded = classes.select(F.explode("bands").alias("key"), "h")
-    shared = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(block), "key long, sub int, h long, mark long")
-    shared = written(shared, "paragraph-buckets")
-    # buckets with the same members are compared once
-    once = shared.groupBy("key", "mark").agg(F.count("*").alias("c")).groupBy("mark", "c").agg(F.min("key").alias("key")).select("key")
-    members = shared.join(once, "key").select("key", "sub", F.col("h").alias("mh"))
+    members = written(bucket_members(banded, block), "paragraph-buckets").withColumnRenamed("h", "mh")
     wanted = classes.join(members.select(F.col("mh").alias("h")).distinct(), "h").select("h", "first.doc_id", F.col("first.unit").alias("line_no"))
     sets = wanted_lines(src, wanted).mapInArrow(_shingle_rows, "h long, shingles array<long>").dropDuplicates(["h"])
     ready = members.join(sets, F.col("mh") == F.col("h")).select("key", "sub", "h", "shingles")

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips, held-out accuracy and odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -141,6 +142,18 @@ def test_paragraph_chain_in_small_blocks(spark):
         assert {(r["doc_id"], r["unit"]): (r["group_doc_id"], r["group_unit"]) for r in got} == want
 
 
+def test_bucket_members_meet_in_small_groups(spark):
+    rows = [(1, h) for h in range(500)] + [(2, 7)] + [(3, 7), (3, 8)] + [(4, 8), (4, 7)] + [(5, h) for h in range(90)]
+    got = passages.bucket_members(spark.createDataFrame(rows, "key long, h long"), 100).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["key"], r["sub"]].add(r["h"])
+    assert sum(map(len, groups.values())) == len(got)
+    assert {k for k, _ in groups} == {1, 3, 5} and max(len(v) for k, v in groups.items()) < 160
+    met = {(k, *p) for (k, _), v in groups.items() for p in itertools.combinations(sorted(v), 2)}
+    assert met == {(1, *p) for p in itertools.combinations(range(500), 2)} | {(3, 7, 8)} | {(5, *p) for p in itertools.combinations(range(90), 2)}
+
+
 def test_banding_reaches_the_recall():
     b, r = passages.tune_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 40
