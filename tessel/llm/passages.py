@@ -34,6 +34,8 @@ GUARANTEE = 50
 WINDOW = 20
 #: Distinct paragraphs in one bucket above which it is dealt out in pairs of blocks of half as many.
 BLOCK = 5_000
+#: Words of a bucket's paragraphs above which it is dealt out too: a worker holds the shingles of a whole group.
+BLOCK_WORDS = 2_000_000
 
 
 def tune_bands(threshold: float, recall: float, max_rows: int = 8, max_bands: int = 64) -> tuple[int, int]:
@@ -143,16 +145,20 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
     return run
 
 
-def bucket_members(banded: DataFrame, block: int) -> DataFrame:
-    """``key, sub, h`` of the buckets to compare, from ``key, h`` of all of them.
+def bucket_members(banded: DataFrame, block: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``key, sub, h`` of the buckets to compare, from ``key, h`` and maybe ``words`` of all of them.
 
     Counts and an XOR of member hashes show which buckets have one member and which repeat another bucket's; neither
-    is gathered. Members of a bucket above ``block`` are dealt by their hash into blocks of half that size, and go to
-    every pair of blocks (``sub``) that theirs is in, so that each two members meet and no group exceeds ``block``
-    but by chance.
+    is gathered. Members of a bucket above ``block``, or above ``block_words`` words in all, are dealt by their hash
+    into blocks of half that size, and go to every pair of blocks (``sub``) that theirs is in, so that each two members
+    meet and no group exceeds either size but by chance, or by one member longer than that.
     """
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("mark")).where("n > 1")
-    once = sizes.groupBy("mark", "n").agg(F.min("key").alias("k")).select("k", F.when(F.col("n") > block, F.ceil(2 * F.col("n") / block)).otherwise(1).cast("long").alias("blocks"))
+    words = F.sum("words") if "words" in banded.columns else F.lit(0).cast("long")
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("mark"), words.alias("words")).where("n > 1")
+    over = lambda c, most: F.when(F.col(c) > most, F.ceil(2 * F.col(c) / most)).otherwise(1).cast("long")
+    blocks = F.least("n", F.greatest(over("n", block), over("words", block_words)))
+    # blocks of 1 stay whole; two blocks would meet in one group all the same
+    once = sizes.groupBy("mark", "n").agg(F.min("key").alias("k"), F.max("words").alias("words")).select("k", F.when(blocks > 2, blocks).otherwise(1).cast("long").alias("blocks"))
     mine = F.pmod(F.xxhash64(F.lit(1), "h"), "blocks")
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != mine)
     pairs = F.transform(others, lambda j: F.least(j, mine) * F.col("blocks") + F.greatest(j, mine))
@@ -237,7 +243,7 @@ def _forest(threshold: float):
     return run
 
 
-def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, guarantee: int = GUARANTEE, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, guarantee: int = GUARANTEE, window: int = WINDOW, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Places of duplicate text: ``doc_id, kind, unit, start, end, n_words, group_doc_id, group_unit, removed``.
 
     ``kind`` is paragraph (a line of at least ``min_words`` words, ``unit`` its number) or passage (a window of words
@@ -253,10 +259,10 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     units = written(src.mapInArrow(_units(min_words, bands, rows, window, guarantee), f"kind byte, doc_id {id_type}, unit int, start int, end int, n_words int, h long, bands array<long>"), "passages")
     place = F.struct("doc_id", "unit")
     paragraphs = units.where("kind = 0")
-    classes = written(paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands")), "paragraph-classes")
+    classes = written(paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands"), F.min("n_words").cast("long").alias("words")), "paragraph-classes")
 
-    banded = classes.select(F.explode("bands").alias("key"), "h")
-    members = written(bucket_members(banded, block), "paragraph-buckets").withColumnRenamed("h", "mh")
+    banded = classes.select(F.explode("bands").alias("key"), "h", "words")
+    members = written(bucket_members(banded, block, block_words), "paragraph-buckets").withColumnRenamed("h", "mh")
     wanted = classes.join(members.select(F.col("mh").alias("h")).distinct(), "h").select("h", "first.doc_id", F.col("first.unit").alias("line_no"))
     sets = wanted_lines(src, wanted).mapInArrow(_shingle_rows, "h long, shingles array<long>").dropDuplicates(["h"])
     ready = members.join(sets, F.col("mh") == F.col("h")).select("key", "sub", "h", "shingles")

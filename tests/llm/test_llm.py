@@ -154,6 +154,18 @@ def test_bucket_members_meet_in_small_groups(spark):
     assert met == {(1, *p) for p in itertools.combinations(range(500), 2)} | {(3, 7, 8)} | {(5, *p) for p in itertools.combinations(range(90), 2)}
 
 
+def test_buckets_of_long_paragraphs_are_dealt_by_words(spark):
+    rows = [(1, h, 1000) for h in range(60)] + [(2, h, 10) for h in range(100, 160)] + [(3, 7, 90_000), (3, 8, 90_000)]
+    got = passages.bucket_members(spark.createDataFrame(rows, "key long, h long, words long"), 100, 20_000).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["key"], r["sub"]].add(r["h"])
+    assert sum(map(len, groups.values())) == len(got)
+    assert max(len(v) for (k, _), v in groups.items() if k == 1) < 40 and len(groups[2, 0]) == 60 and groups[3, 0] == {7, 8}
+    met = {p for (k, _), v in groups.items() if k == 1 for p in itertools.combinations(sorted(v), 2)}
+    assert met == set(itertools.combinations(range(60), 2))
+
+
 def test_banding_reaches_the_recall():
     b, r = passages.tune_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 40
