@@ -258,7 +258,8 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
     bits = max(4, (2 * max(1, src.rdd.getNumPartitions()) - 1).bit_length())
     files = SharedFiles.create(spark, "kneser")
     sharded = "shard int, blob binary"
-    sort = lambda df: df.repartition("shard").sortWithinPartitions("shard")
+    # a task merges two neighbouring shards, whatever the session's number of shuffle partitions
+    sort = lambda df: df.repartitionById(1 << (bits - 1), F.shiftright("shard", 1)).sortWithinPartitions("shard")
     words = sort(src.mapInArrow(_count_words(bits), sharded)).mapInArrow(_merge_words(files, 64), "shard int, types long, tokens long, top array<long>, top_n array<long>").collect()
     n_tokens, n_types = sum(r["tokens"] for r in words), sum(r["types"] for r in words)
     limit = n_tokens / (4 << bits)
