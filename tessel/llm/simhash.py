@@ -206,6 +206,7 @@ def fingerprint_hex(col: str = "fp"):
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs``, all columns, with one document of each group: the one whose id names it. Rows without an id stay."""
+    """``docs``, all columns, with one document of each group: the one whose id names it. Rows without an id stay, as do
+    all rows that repeat the id of a document that stays: an id names one document."""
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__tessel_gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__tessel_gone"), "left_anti")
