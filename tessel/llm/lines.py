@@ -121,7 +121,7 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(per_doc, docs.doc_id.eqNullSafe(F.col("__tessel_doc"))).select("doc_id", "text", "wanted")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """The lines to drop: ``doc_id, line_no, n_words, keeper_doc_id, keeper_line_no, edits``.
 
     A line of at least ``min_words`` words is dropped if an earlier line of the corpus, in the order of (doc_id, line
@@ -132,11 +132,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    lines = written(src.mapInArrow(_line_rows(min_words), f"doc_id {id_type}, line_no int, n_words int, h long, p0 long, p1 long, s0 long, s1 long"), "lines")
+    lines = written(src.mapInArrow(_line_rows(min_words if exact_words is None else min(exact_words, min_words)), f"doc_id {id_type}, line_no int, n_words int, h long, p0 long, p1 long, s0 long, s1 long"), "lines")
     place = F.struct("doc_id", "line_no")
-    classes = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), *(F.min(c).alias(c) for c in ("p0", "p1", "s0", "s1"))), "line-classes")
+    classes = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("n_words").alias("n_words"), *(F.min(c).alias(c) for c in ("p0", "p1", "s0", "s1"))), "line-classes")
 
-    halves = classes.select("h", F.explode(F.array_distinct(F.array("p0", "p1", "s0", "s1"))).alias("half"))
+    halves = classes.where(F.col("n_words") >= min_words).select("h", F.explode(F.array_distinct(F.array("p0", "p1", "s0", "s1"))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
     near = halves.join(shared, "half").select("h").distinct()
     wanted = classes.join(near, "h").select("h", "first.doc_id", "first.line_no")

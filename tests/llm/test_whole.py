@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tessel.llm import lines
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,3 +47,21 @@ def test_near_copies_equal_brute_force_jaccard(spark):
                 up[y] = x
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), SMALL).collect()}
     assert close > 50 and got == {k for k in range(len(rows)) if find(k) == k}
+
+
+def test_copies_with_short_lines_do_not_survive(spark):
+    rng = random.Random(8)
+    rows = []
+    for d in range(12):
+        part = [" ".join(f"d{d}x{rng.randrange(10**6)}" for _ in range(n)) for n in (30, 4, 1, 12, 7)]
+        rows += [(d, "\n".join(part)), (100 + d, "\n".join(part))]
+    df = corpus_pipeline.line_dedup(spark, frame(spark, rows), SMALL)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()}
+    assert left == {d: t for d, t in rows if d < 100}
+
+
+def test_short_lines_are_dropped_when_asked(spark):
+    df = spark.createDataFrame([(1, "one two\na\n\none Two"), (2, "a\none two x\nb"), (3, "1 2 3 4 5 6 7 8"), (4, "1 2 3 4 5 6 7"), (5, "1 2 3 4 5 6 7 9")], "doc_id long, text string")
+    take = lambda **k: {tuple(r) for r in lines.duplicate_lines(df, **k).select("doc_id", "line_no", "keeper_doc_id", "keeper_line_no", "edits").collect()}
+    assert take() == {(5, 0, 3, 0, 1)}
+    assert take(exact_words=1) == {(5, 0, 3, 0, 1), (1, 3, 1, 0, 0), (2, 0, 1, 1, 0)}
