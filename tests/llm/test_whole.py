@@ -65,3 +65,14 @@ def test_short_lines_are_dropped_when_asked(spark):
     take = lambda **k: {tuple(r) for r in lines.duplicate_lines(df, **k).select("doc_id", "line_no", "keeper_doc_id", "keeper_line_no", "edits").collect()}
     assert take() == {(5, 0, 3, 0, 1)}
     assert take(exact_words=1) == {(5, 0, 3, 0, 1), (1, 3, 1, 0, 0), (2, 0, 1, 1, 0)}
+
+
+def test_rows_that_share_an_id_are_judged_each_by_itself(spark):
+    rng = random.Random(9)
+    a, b, c, d = ("\n".join(" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(n)) for n in (25, 3, 14)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (None, c), (None, d), (None, d), (None, a)]
+    near = corpus_pipeline.near_dedup(spark, frame(spark, rows), SMALL).collect()
+    assert sorted(r["text"] for r in near) == sorted([a, b, c, d])
+    assert {(r["doc_id"], r["text"]) for r in near} == {(1, a), (1, b), (2, c), (None, d)}
+    both = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, frame(spark, rows), SMALL), SMALL).collect()
+    assert sorted(r["text"] for r in both) == sorted([a, b, c, d])
