@@ -145,6 +145,64 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
     return run
 
 
+def _side(hashes: np.ndarray, bounds: np.ndarray, doc: int, k: int, window: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words before window k, the nearest first, and of those after it."""
+    lo, hi = max(bounds[doc], k - reach), min(bounds[doc + 1], k + window + reach)
+    return hashes[lo:k][::-1], hashes[k + window : hi]
+
+
+def _picked(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
+    """The words, their word bounds, and the wanted windows (text, first word, entry) of each piece of doc_id, text, wanted."""
+    wanted = batch.column(2).to_pylist()
+    for lo, hi, w in word_runs(batch.column(1)):
+        bounds, sums = w.bounds(), sequence_sums(w.hash)
+        found = []
+        for d in range(hi - lo):
+            xs = [x for x in wanted[lo + d] if bounds[d] + x["line_no"] + window <= bounds[d + 1]]
+            k = np.array([bounds[d] + x["line_no"] for x in xs], np.int64)
+            own = signed(mix64(run_hash(sums, k, k + window) + np.uint64(1))).tolist()
+            found += [(d, int(a), x) for a, x, h in zip(k, xs, own) if h == x["h"]]
+        yield lo, w, bounds, found
+
+
+def _contexts(window: int, reach: int):
+    """From doc_id, text and wanted windows: the words around each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, w, bounds, found in _picked(b, window):
+                near = [_side(signed(w.hash), bounds, d, k, window, reach) for d, k, _ in found]
+                yield pa.record_batch([pa.array([x["h"] for *_, x in found], pa.int64()), *(pa.array([n[s].tolist() for n in near], pa.list_(pa.int64())) for s in (0, 1))], names=["h", "before", "after"])
+
+    return run
+
+
+def _extended(window: int, reach: int):
+    """From doc_id, text and wanted windows with the words around their group's first place: the run equal to it."""
+
+    def same(a: np.ndarray, b: list) -> int:
+        n = min(len(a), len(b))
+        unlike = np.flatnonzero(a[:n] != np.array(b[:n], np.int64))
+        return int(unlike[0]) if len(unlike) else n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, w, bounds, found in _picked(b, window):
+                chars = np.zeros(len(w.buf) + 1, np.int64)
+                np.cumsum((w.buf & 0xC0) != 0x80, out=chars[1:])
+                out = []
+                for d, k, x in found:
+                    before, after = _side(signed(w.hash), bounds, d, k, window, reach)
+                    f, l = k - same(before, x["before"]), k + window + same(after, x["after"])
+                    base = chars[w.offsets[d]]
+                    out.append((lo + d, x["line_no"], chars[w.start[f]] - base, chars[w.end[l - 1]] - base, l - f, x["h"]))
+                cols = list(zip(*out)) if out else [()] * 6
+                ids = b.column(0).take(pa.array(cols[0], pa.int64()))
+                yield pa.record_batch([ids, *(pa.array(c, pa.int32()) for c in cols[1:5]), pa.array(cols[5], pa.int64())], names=["doc_id", "unit", "start", "end", "n_words", "h"])
+
+    return run
+
+
 def bucket_members(banded: DataFrame, block: int, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``key, sub, h`` of the buckets to compare, from ``key, h`` and maybe ``words`` of all of them.
 
@@ -248,7 +306,9 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``kind`` is paragraph (a line of at least ``min_words`` words, ``unit`` its number) or passage (a window of words
     picked by winnowing, ``unit`` the number of its first word); ``start`` and ``end`` are character offsets in the
-    whole text. A group's name is its first member's place in the order of (doc_id, unit); all members but the first
+    whole text. A passage's span is its window with the words on either side, up to ``guarantee`` - ``window`` of
+    them, that are equal around the group's first place: a run of ``guarantee`` words holds a window, so the spans
+    cover every such run that a place shares with the first of its group. A group's name is its first member's place in the order of (doc_id, unit); all members but the first
     are to be removed. Places whose text occurs nowhere else have no row, nor have null, empty and short texts. A null
     doc_id sorts first; repeated rows are duplicates of each other.
     """
@@ -274,8 +334,18 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = led.join(groups, "root").select(F.col("h").alias("ch"), "group")
     first = units.where("kind = 1").groupBy(F.col("h").alias("ch")).agg(F.min(place).alias("group"), F.count("*").alias("n")).where("n > 1").select("ch", "group")
 
+    first = written(first, "passage-groups")
+    reach = guarantee - window
+    heads = first.select(F.col("group.doc_id").alias("doc_id"), F.col("group.unit").alias("line_no"), F.col("ch").alias("h"))
+    around = written(wanted_lines(src, heads).mapInArrow(_contexts(window, reach), "h long, before array<long>, after array<long>").dropDuplicates(["h"]), "passage-contexts")
+    later = units.where("kind = 1").select("doc_id", F.col("unit").alias("line_no"), "h").join(around.withColumnRenamed("h", "ch"), F.col("h") == F.col("ch"))
+    per_doc = later.groupBy(F.col("doc_id").alias("__tessel_doc")).agg(F.collect_set(F.struct("line_no", "h", "before", "after")).alias("wanted"))
+    near = src.join(per_doc, src.doc_id.eqNullSafe(F.col("__tessel_doc"))).select("doc_id", "text", "wanted")
+    spans = near.mapInArrow(_extended(window, reach), f"doc_id {id_type}, unit int, start int, end int, n_words int, h long")
+
     def rows_for(kind: int, name: str, by: DataFrame) -> DataFrame:
-        hit = units.where(F.col("kind") == kind).drop("kind", "bands").join(by, F.col("h") == F.col("ch"))
+        places = units.where("kind = 0").drop("kind", "bands") if kind == 0 else spans
+        hit = places.join(by, F.col("h") == F.col("ch"))
         return hit.select("doc_id", F.lit(name).alias("kind"), "unit", "start", "end", "n_words", F.col("group.doc_id").alias("group_doc_id"), F.col("group.unit").alias("group_unit"), (F.col("group") != place).alias("removed"))
 
     return rows_for(0, "paragraph", named).union(rows_for(1, "passage", first))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tessel.llm import lines
+from tessel.llm import lines, passages
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -76,3 +76,24 @@ def test_rows_that_share_an_id_are_judged_each_by_itself(spark):
     assert {(r["doc_id"], r["text"]) for r in near} == {(1, a), (1, b), (2, c), (None, d)}
     both = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, frame(spark, rows), SMALL), SMALL).collect()
     assert sorted(r["text"] for r in both) == sorted([a, b, c, d])
+
+
+def test_shared_passages_are_covered_whole(spark):
+    rng = random.Random(10)
+    own = lambda d, n: [f"d{d}y{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for g, n in enumerate((50, 51, 60, 80, 120, 300) * 5):
+        shared = [f"é{g}z{rng.randrange(10**6)}" for _ in range(n)]
+        head = " ".join(own(g, 35))
+        rows.append((g, " ".join([*own(g, 90), *shared, *own(g, 70)])))
+        rows.append((100 + g, f"{head} {' '.join(shared)} {' '.join(own(100 + g, 40))}"))
+        want[100 + g] = (len(head) + 1, len(head) + 1 + len(" ".join(shared)))
+    got = passages.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'passage' and removed").collect()
+    texts = dict(rows)
+    for d, (start, end) in want.items():
+        covered = set()
+        for r in got:
+            if r["doc_id"] == d:
+                assert start <= r["start"] and r["end"] <= end and len(texts[d][r["start"] : r["end"]].split()) == r["n_words"]
+                covered.update(range(r["start"], r["end"]))
+        assert not [k for k in range(start, end) if k not in covered and texts[d][k] != " "]
