@@ -42,7 +42,7 @@ def build(items: list[tuple], width: int) -> "ahocorasick.Automaton":
             found.setdefault(w, set()).add(item)
     a = ahocorasick.Automaton()
     for w, who in found.items():
-        a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(who))))
+        a.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(who)))
     if found:
         a.make_automaton()
     return a
@@ -81,7 +81,7 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int) -> Iterator[list[tuple]]:
     block, size = [], 0
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        if r["t"] is None or r["i"] is None:
+        if r["t"] is None:
             continue
         block.append((r["i"], r["t"]))
         size += len(r["t"]) * width
@@ -126,9 +126,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, items, spans``.
+    """One row per document: ``doc_id, n_words, n_hit, n_items, items, spans``.
 
-    ``items`` are the ids of test items of which a window occurs, sorted as strings; ``spans`` are the character
+    ``items`` are the ids of test items of which a window occurs, sorted as strings; items without an id
+    hit like any other, are left out of ``items`` and count in ``n_items`` as one; ``spans`` are the character
     bounds of hit passages in the original text. Null or wordless texts and items match nothing; repeated rows are
     rows of their own; items with the same window are all named. An empty benchmark hits nothing. Test items are
     held in blocks of bounded size; a worker loads one automaton at a time.
@@ -147,15 +148,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     b.column(0),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([int(h.sum()) for h in hits], pa.int64()),
-                    pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())),
+                    pa.array([len(i) for i in items], pa.int64()),
+                    pa.array([sorted(str(x) for x in i if x is not None) for i in items], pa.list_(pa.string())),
                     pa.array([spans_of(t, h) if i else [] for t, h, i in zip(texts, hits, items)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 ],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items", "spans"],
             )
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    return src.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>")
 
 
 def contaminated(min_share: int = 20):

@@ -55,7 +55,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_sha256().alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_sha256().alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tessel.llm import lines, passages
+from tessel.llm import decontaminate, lines, passages
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -97,3 +97,11 @@ def test_shared_passages_are_covered_whole(spark):
                 assert start <= r["start"] and r["end"] <= end and len(texts[d][r["start"] : r["end"]].split()) == r["n_words"]
                 covered.update(range(r["start"], r["end"]))
         assert not [k for k in range(start, end) if k not in covered and texts[d][k] != " "]
+
+
+def test_benchmark_items_without_an_id_hit(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "one two three")], "item_id long, text string")
+    df = frame(spark, [(1, "x one two three four five"), (2, "four five"), (3, "other words")])
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], len(r["spans"])) for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {1: (5, 2, ["7"], 1), 2: (2, 1, [], 1), 3: (0, 0, [], 0)}
+    assert [r["doc_id"] for r in decontaminate.clean_documents(df, bench).collect()] == [3]
