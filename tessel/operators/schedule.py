@@ -1,4 +1,4 @@
-"""Tile-fusion schedules and what they tell, as analytics on the edge table.
+"""Schedules of row tiles and what they tell, as analytics on the edge table.
 
 A schedule is ``level int, part long, pos long, loop int, id long``. The first loop makes row r of a product; the second
 uses rows j of it for each edge (i, j). Row i of the second loop is fused into a tile if the first loop makes all it
