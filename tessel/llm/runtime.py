@@ -11,13 +11,18 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows handed to Python at once; texts can be long, so batches stay small.
-ARROW_ROWS = "512"
+#: Rows and bytes handed to Python at once; texts can be long, so batches stay small.
+ARROW_ROWS = 512
+ARROW_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Make executors able to import this package, and keep Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
     sc = spark.sparkContext
     if getattr(sc, "_tessel_shipped", False):
         return
@@ -31,11 +36,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a folder of this machine, if there is
+    no other machine; on a cluster that is an error, as its executors would not see each other's files."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     sc = spark.sparkContext
+    if not (sc.master.split("[")[0] == "local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(sc, "_tessel_shared", None):
         sc._tessel_shared = "file://" + tempfile.mkdtemp(prefix="tessel-shared-")
         sc.setCheckpointDir(sc._tessel_shared)
@@ -52,14 +60,20 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for tables that no plan needs any longer."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(t._tessel_path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """``written`` for a loop: ``old``, what an earlier round wrote and no plan needs any longer, is deleted. Plans over
     files have the files' sizes; sizes guessed over a checkpoint would grow with every round."""
     out = written(df, "round")
     if old is not None:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(old._tessel_path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        discard(old)
     return out
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once; a longer single text is one piece.
+#: Bytes of text worked on at once; a longer single text is one piece, whose bytes are hashed in as long runs of words.
 CHUNK_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
@@ -39,7 +39,8 @@ def _byte_values() -> np.ndarray:
     return _tables["bytes"]
 
 
-def _is_space() -> np.ndarray:
+def is_space() -> np.ndarray:
+    """For each byte, whether it is ASCII white space."""
     if "space" not in _tables:
         t = np.zeros(256, bool)
         t[[32, 9, 10, 11, 12, 13]] = True
@@ -110,7 +111,7 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> Words:
     if not n:
         e = np.empty(0, np.int64)
         return Words(buf, offsets, e, e, e, np.empty(0, np.uint64))
-    space = _is_space()[buf]
+    space = is_space()[buf]
     before = np.empty(n, bool)
     before[0] = True
     before[1:] = space[:-1]
@@ -123,10 +124,17 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> Words:
     after[last[last > 0] - 1] = True
     start = np.flatnonzero(before & ~space)
     end = np.flatnonzero(after & ~space) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values()[buf] * powers(_BASE, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * powers(_BASE, n, True)[start]
-    h = mix64(h + (end - start).astype(np.uint64) * np.uint64(_WORD_BASE))
+    del space, before, after
+    h = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):  # 24 bytes of memory for a byte of text, so in runs of words
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + CHUNK_BYTES, side="right")))
+        at, size = start[lo], int(end[hi - 1] - start[lo])
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_byte_values()[buf[at : at + size]] * powers(_BASE, size), out=sums[1:])
+        s, e = start[lo:hi] - at, end[lo:hi] - at
+        h[lo:hi] = mix64((sums[e] - sums[s]) * powers(_BASE, size, True)[s] + (e - s).astype(np.uint64) * np.uint64(_WORD_BASE))
+        lo = hi
     return Words(buf, offsets, start, end, np.searchsorted(offsets, start, side="right") - 1, h)
 
 
