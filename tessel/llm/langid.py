@@ -21,19 +21,21 @@ from .text import mix64, spans, text_buffer
 
 #: The classifier is fitted on at most so many labelled documents of a language, and on over half of that if there are.
 SAMPLE_PER_LANG = 3_000
-#: An n-gram enters a language's slice if it is in so many sampled documents, and this share of the most common's.
+#: An n-gram enters a language's slice if it is in so many sampled documents; in fewer where a language has few: in one
+#: of MIN_SHARE of them, and in one at least.
 MIN_DOCS = 3
+MIN_SHARE = 10
 GRAM = 5
 SLOTS = 1 << 21
 HASHES = 3
 #: Documents of whose n-grams no language knows so large a share are in none of them.
 LEAST_KNOWN = 0.2
-#: Slices of the mask: a bit for each language.
-MAX_LANGS = 64
 
 
 @dataclass
 class MaskFilter:
+    """``slots`` has a mask at each position: a row of words, with as many bits in all as there are languages."""
+
     langs: list[str]
     slots: np.ndarray
     fpr: np.ndarray
@@ -45,6 +47,11 @@ class MaskFilter:
             out = m if out is None else out & m
         return out
 
+    def has(self, masks: np.ndarray, lang: int) -> np.ndarray:
+        """The bit of a language in each of the masks."""
+        bits = masks.dtype.itemsize * 8
+        return (masks[:, lang // bits] >> masks.dtype.type(lang % bits)) & masks.dtype.type(1)
+
 
 def _slot(h: np.ndarray, k: int, size: int) -> np.ndarray:
     return ((h >> np.uint64(21 * k)) & np.uint64(size - 1)).astype(np.int64)
@@ -74,59 +81,71 @@ def _lower(col: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), ""))
 
 
-def build(rows: list[tuple[str, int]], langs: list[str], size: int = SLOTS) -> MaskFilter:
-    """From (language, n-gram hash) pairs."""
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"at most {MAX_LANGS} languages")
+def build(at: np.ndarray, word: np.ndarray, mask: np.ndarray, langs: list[str], size: int = SLOTS) -> MaskFilter:
+    """From positions, the word of the mask there, and its bits; see ``positions``."""
     kind = np.uint8 if len(langs) <= 8 else np.uint64
-    slots = np.zeros(size, kind)
-    for b, lang in enumerate(langs):
-        h = np.array([x for l, x in rows if l == lang], np.int64).view(np.uint64)
-        for k in range(HASHES):
-            np.bitwise_or.at(slots, _slot(h, k, size), kind(1 << b))
-    filled = np.array([np.count_nonzero(slots & kind(1 << b)) / size for b in range(len(langs))])
+    bits = np.dtype(kind).itemsize * 8
+    slots = np.zeros((size, max(1, -(-len(langs) // bits))), kind)
+    np.bitwise_or.at(slots, (at, word), mask.astype(np.int64).view(np.uint64).astype(kind))
+    f = MaskFilter(langs, slots, np.zeros(len(langs)))
+    filled = np.array([np.count_nonzero(f.has(slots, b)) / size for b in range(len(langs))])
     return MaskFilter(langs, slots, filled**HASHES)
 
 
+def positions(h: np.ndarray, lang: int, size: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where n-grams of a language set bits: positions, words of the mask and their bits as signed longs."""
+    at = np.unique(np.concatenate([_slot(h, k, size) for k in range(HASHES)]))
+    bit = np.array([1 << lang % 64], np.uint64).view(np.int64)
+    return at, np.full(len(at), lang // 64), np.repeat(bit, len(at))
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANG, min_docs: int = MIN_DOCS) -> MaskFilter:
-    """Fit on labelled rows: at most ``sample`` documents of each language, whole texts.
+    """Fit on labelled rows: at most ``sample`` different documents of each language, whole texts.
 
-    Document counts of n-grams are made in Spark; the driver gets the n-grams that enter, whose number the sample
-    bounds. Rows with a null language, text or id teach nothing. No labelled row gives a filter without languages.
+    Document counts of n-grams, and the bits that they set, are made in Spark; the driver gets the set positions, of
+    which the filter has SLOTS whatever the texts. Rows with a null language or text teach nothing; rows that repeat id
+    and text teach once. Any number of languages is taken. No labelled row gives a filter without languages.
     """
     spark = docs.sparkSession
     prepare(spark)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    seen = src.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(seen) > MAX_LANGS:
-        raise ValueError(f"at most {MAX_LANGS} languages")
-    langs = [r["lang"] for r in sorted(seen, key=lambda r: (-r["count"], r["lang"]))]
-    if not langs:
-        return MaskFilter([], np.zeros(SLOTS, np.uint8), np.zeros(0))
-    # documents whose hashed id begins with z zero bits are a 2**-z share; counts by z say which z to take
-    zeros = 64 - F.length(F.bin(F.xxhash64(F.col("id").cast("string"))))
-    keyed = src.where("id is not null").withColumn("zeros", zeros)
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    # documents whose hash begins with z zero bits are a 2**-z share; counts by z say which z to take
+    keyed = src.select("text", "lang", F.xxhash64("id", "text").alias("h"))
+    keyed = keyed.withColumn("zeros", F.when(F.col("h") == 0, 64).otherwise(64 - F.length(F.bin("h"))))
     by: dict[str, dict[int, int]] = {}
     for r in keyed.groupBy("lang", "zeros").count().collect():
         by.setdefault(r["lang"], {})[r["zeros"]] = r["count"]
-    least = {lang: next(z for z in range(65) if sum(c for k, c in n.items() if k >= z) <= sample) for lang, n in by.items()}
-    taken = F.lit(False)
-    for lang, z in sorted(least.items()):
-        taken = taken | ((F.col("lang") == lang) & (F.col("zeros") >= z))
-    picked = keyed.where(taken)
+    langs = sorted(by, key=lambda x: (-sum(by[x].values()), x))
+    if not langs:
+        return MaskFilter([], np.zeros((SLOTS, 1), np.uint8), np.zeros(0))
+    # where even the rarest zeros have too many rows these are repeats of one or two, and fall together
+    least = {lang: next((z for z in sorted(n) if sum(c for k, c in n.items() if k >= z) <= sample), max(n)) for lang, n in by.items()}
+    wanted = spark.createDataFrame([(lang, k, least[lang]) for k, lang in enumerate(langs)], "lang string, no int, least int")
+    picked = keyed.join(F.broadcast(wanted), "lang").where("zeros >= least").dropDuplicates(["lang", "h"]).select("no", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offsets = text_buffer(_lower(b.column(1)))
-            lang = b.column(0).to_pylist()
+            no = b.column(0).to_numpy(zero_copy_only=False)
             for i in range(b.num_rows):
                 h, _ = grams(buf[offsets[i] : offsets[i + 1]], np.zeros(0, np.int64))
                 h = np.unique(h)
-                yield pa.record_batch([pa.array([lang[i]] * len(h), pa.string()), pa.array(h.view(np.int64))], names=["lang", "gram"])
+                yield pa.record_batch([pa.array(np.full(len(h) + 1, no[i], np.int32)), pa.array([None, *h.view(np.int64)], pa.int64())], names=["no", "gram"])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            no, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for lang in np.unique(no).tolist():
+                at, word, mask = positions(h[no == lang], lang)
+                yield pa.record_batch([pa.array(at), pa.array(word), pa.array(mask)], names=["at", "word", "mask"])
 
-    counts = picked.select("lang", "text").mapInArrow(run, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    rows = counts.select("lang", "gram").toPandas()
-    return build(list(zip(rows["lang"].tolist(), rows["gram"].tolist())), langs)
+    # a row without n-gram counts the language's documents
+    counts = picked.mapInArrow(run, "no int, gram long").groupBy("no", "gram").agg(F.count("*").alias("n")).persist()
+    size = counts.where("gram is null").select("no", F.greatest(F.lit(1), F.least(F.lit(min_docs), F.floor(F.col("n") / MIN_SHARE))).alias("need"))
+    enter = counts.where("gram is not null").join(F.broadcast(size), "no").where("n >= need").select("no", "gram")
+    rows = enter.mapInArrow(bits, "at long, word long, mask long").groupBy("at", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    counts.unpersist()
+    return build(rows["at"].to_numpy(np.int64), rows["word"].to_numpy(np.int64), rows["mask"].to_numpy(np.int64), langs)
 
 
 def score_texts(col: pa.Array, f: MaskFilter) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +163,7 @@ def score_texts(col: pa.Array, f: MaskFilter) -> tuple[np.ndarray, np.ndarray]:
         count = np.diff(cuts)
         total[lo:hi] = count
         for b in range(k):
-            seen = np.concatenate(([0], np.cumsum((masks >> masks.dtype.type(b)) & masks.dtype.type(1), dtype=np.int64)))
+            seen = np.concatenate(([0], np.cumsum(f.has(masks, b), dtype=np.int64)))
             hits[lo:hi, b] = (np.diff(seen[cuts]) - count * f.fpr[b]) / max(1e-9, 1 - f.fpr[b])
     return np.maximum(hits, 0), total
 
@@ -183,11 +202,12 @@ def identify(docs: DataFrame, f: MaskFilter, id_col: str = "doc_id", text_col: s
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, known double")
 
 
-def keep_identified(docs: DataFrame, f: MaskFilter, text_col: str = "text", least_known: float = LEAST_KNOWN) -> DataFrame:
+def keep_identified(docs: DataFrame, f: MaskFilter, text_col: str = "text", least_known: float = LEAST_KNOWN, rejected: bool = False) -> DataFrame:
     """``docs``, all columns, without rows whose language is ``und`` or of whose n-grams the best language knows a
-    smaller share than ``least_known``; a text too short for an n-gram stays. Nothing is shuffled. A filter that learned nothing keeps every row."""
+    smaller share than ``least_known``; a text too short for an n-gram stays. With ``rejected`` the rows that go, so
+    that a caller can see or keep them. Nothing is shuffled. A filter that learned nothing keeps every row."""
     if not f.langs:
-        return docs
+        return docs.limit(0) if rejected else docs
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(f)
     at = docs.columns.index(text_col)
@@ -195,7 +215,7 @@ def keep_identified(docs: DataFrame, f: MaskFilter, text_col: str = "text", leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, _, known = predict(b.column(at), sent.value)
-            yield b.filter(pa.array((lang != "und") & ~(known < least_known)))
+            yield b.filter(pa.array(((lang != "und") & ~(known < least_known)) != rejected))
 
     return docs.mapInArrow(run, docs.schema)
 
