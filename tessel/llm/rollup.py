@@ -1,12 +1,15 @@
 """Delta-maintained token-count rollups (operator 5).
 
 Totals are additive, so a batch of changes becomes a few signed sums by source, language and tokenizer version. A
-batch's sums are written to a folder of their own and count from the moment its marker is created; creating a marker
-that exists fails, so a batch that comes twice counts once, and a batch that broke off counts not at all.
+batch's sums are written to a folder of their own and count from the moment its marker is there. A marker names that
+folder; it is written whole under another name and then renamed, so a batch that broke off at any point counts not at
+all and can come again. A marker names one folder, so a batch that comes twice, or from two writers at once, counts
+once. Every so many batches the sums of all are written as one base, and totals read the base and what came after it.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -37,17 +40,44 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals kept under a folder that driver and executors share."""
+    """Totals kept under a folder that driver and executors share. After ``compact_every`` batches beyond the last base
+    a new base is written."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._jpath = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 64):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+        self._jvm = spark.sparkContext._jvm
+        self._jpath = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._jpath(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _marker(self, batch: str) -> str:
         return f"{self.path}/commits/{quote(str(batch), safe='')}"
 
+    def _put(self, path: str, content: str) -> bool:
+        """Write a file as a whole: under another name, then renamed. False if the name was taken."""
+        tmp = self._jpath(f"{self.path}/pending/{uuid.uuid4().hex}")
+        out = self._fs.create(tmp, False)
+        out.write(bytearray(content.encode()))
+        out.close()
+        to = self._jpath(path)
+        self._fs.mkdirs(to.getParent())
+        if not self._fs.exists(to) and self._fs.rename(tmp, to):
+            return True
+        self._fs.delete(tmp, False)
+        if not self._fs.exists(to):
+            raise OSError(f"{path} could not be written")
+        return False
+
+    def _read(self, path) -> str:
+        stream = self._fs.open(path)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _files(self, folder: str) -> dict:
+        at = self._jpath(f"{self.path}/{folder}")
+        return {s.getPath().getName(): s.getPath() for s in self._fs.listStatus(at)} if self._fs.exists(at) else {}
+
     def committed(self, batch: str) -> bool:
         return self._fs.exists(self._jpath(self._marker(batch)))
 
@@ -55,35 +85,41 @@ class Rollup:
         """Count a batch once; False if it was counted before."""
         if self.committed(batch):
             return False
-        data = f"{self.path}/data/{uuid.uuid4().hex}"
-        deltas(changes).write.parquet(data)
-        try:
-            out = self._fs.create(self._jpath(self._marker(batch)), False)
-        except Exception:
-            self._fs.delete(self._jpath(data), True)
-            if self.committed(batch):
-                return False
-            raise
-        out.write(bytearray(data.rsplit("/", 1)[1].encode()))
-        out.close()
+        name = uuid.uuid4().hex
+        deltas(changes).write.parquet(f"{self.path}/data/{name}")
+        if not self._put(self._marker(batch), name):
+            self._fs.delete(self._jpath(f"{self.path}/data/{name}"), True)
+            return False
+        if len(self._live()[1]) >= self.compact_every:
+            self.compact()
         return True
 
-    def _live(self) -> list[str]:
-        folder = self._jpath(f"{self.path}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = []
-        for s in self._fs.listStatus(folder):
-            stream = self._fs.open(s.getPath())
-            names.append("".join(chr(stream.read()) for _ in range(int(s.getLen()))))
-            stream.close()
-        return [f"{self.path}/data/{n}" for n in sorted(names) if n]
+    def _live(self) -> tuple[dict | None, dict[str, str]]:
+        """The last base, and the folders of the batches that it does not cover."""
+        bases = self._files("bases")
+        base = json.loads(self._read(bases[max(bases)])) if bases else None
+        known = set(base["batches"]) if base else set()
+        return base, {b: self._read(p) for b, p in self._files("commits").items() if b not in known}
+
+    def _sums(self, base: dict | None, later: dict[str, str]) -> DataFrame:
+        live = [f"{self.path}/data/{n}" for n in sorted([*later.values(), *([base["data"]] if base else [])])]
+        df = self.spark.read.schema(SCHEMA).parquet(*live) if live else self.spark.createDataFrame([], SCHEMA)
+        return df.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def compact(self) -> None:
+        """Write the sums of all batches so far as a base. It counts from the moment that its file is there; of two
+        written at once one stands, and either covers just the batches that it names."""
+        base, later = self._live()
+        name = uuid.uuid4().hex
+        self._sums(base, later).write.parquet(f"{self.path}/data/{name}")
+        number = (base["number"] if base else 0) + 1
+        content = {"number": number, "data": name, "batches": sorted([*(base["batches"] if base else []), *later])}
+        if not self._put(f"{self.path}/bases/{number:012d}", json.dumps(content)):
+            self._fs.delete(self._jpath(f"{self.path}/data/{name}"), True)
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens``; keys whose sums are all 0 are gone."""
-        live = self._live()
-        df = self.spark.read.schema(SCHEMA).parquet(*live) if live else self.spark.createDataFrame([], SCHEMA)
-        return df.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        return self._sums(*self._live()).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
