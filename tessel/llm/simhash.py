@@ -14,35 +14,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .runtime import prepare, written
+from .text import is_space
 
-#: Table entries of one segment value above which the bucket is dealt out in blocks.
+#: Table entries, or rows of balls, of one segment value above which the bucket is dealt out in blocks.
 BLOCK = 20_000
 _SEED = 42
 
 
 def text_fingerprint(text: str | None, width: int = 3, seed: int = _SEED) -> int:
     """64-bit SimHash of the word shingles of a text; no words give 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    space = is_space()[raw]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    norm = np.where(space, np.uint8(32), raw)[keep]
+    if len(norm) and norm[-1] == 32:
+        norm = norm[:-1]
+    if not len(norm):
         return 0
-    norm = b" ".join(words)
-    if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(norm, seed)], np.uint64)
-        return int(hashes[0])
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    ends = ends.tolist()
+    ends = np.concatenate((np.flatnonzero(norm == 32), [len(norm)]))
+    norm = norm.tobytes()
     digest = xxhash.xxh64_intdigest
-    n = len(words) - width + 1
+    if len(ends) <= width:
+        return digest(norm, seed)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(ends) - width + 1
     votes = np.zeros(64, np.int64)
     for lo in range(0, n, 1 << 16):
         hi = min(n, lo + (1 << 16))
-        h = np.array([digest(norm[s:e], seed) for s, e in zip(starts[lo:hi], ends[lo + width - 1 : hi + width - 1])], "<u8")
+        h = np.array([digest(norm[s:e], seed) for s, e in zip(starts[lo:hi].tolist(), ends[lo + width - 1 : hi + width - 1].tolist())], "<u8")
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
@@ -56,45 +61,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((text_fingerprint(t, width) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _entries(fps: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """Table rows (kind 0) and ball rows (kind 1) of each fingerprint, by segment value and block."""
-    sent = fps.sparkSession.sparkContext.broadcast(hot)
+def _near(key: str, bit: int) -> Column:
+    """The segment values that differ from ``key`` in one place, where ``key`` has the bit."""
+    return F.expr(f"transform(filter(sequence(0, 31), b -> (shiftright({key}, b) & 1) = {bit}), b -> {key} ^ shiftleft(1L, b))")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = sent.value
-        bits = np.uint64(1) << np.arange(32, dtype=np.uint64)
-        for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for seg in (0, 1):
-                part = (fp >> np.uint64(32 * seg)) & np.uint64(0xFFFFFFFF)
-                flips = (part[:, None] & bits) == 0
-                ball = (part[:, None] | bits)[flips]
-                key = np.concatenate([part, ball]) | np.uint64(seg << 32)
-                kind = np.concatenate([np.zeros(len(part), np.int8), np.ones(len(ball), np.int8)])
-                own = np.concatenate([fp, np.repeat(fp, flips.sum(axis=1))])
-                sub = np.zeros(len(key), np.int32)
-                if blocks:
-                    key, kind, own, sub = _deal(key, kind, own, sub, blocks)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(sub), pa.array(kind), pa.array(own.view(np.int64))], names=["key", "sub", "kind", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "key long, sub int, kind byte, fp long")
-
-
-def _deal(key, kind, own, sub, blocks):
-    """Rows of hot buckets go to every pair of blocks (i <= j) that needs them."""
-    held = np.isin(key, np.fromiter(blocks, np.uint64, len(blocks)))
-    out = [[key[~held]], [kind[~held]], [own[~held]], [sub[~held]]]
-    for k, t, f in zip(key[held].tolist(), kind[held].tolist(), own[held].tolist()):
-        n = blocks[k]
-        mine = xxhash.xxh32_intdigest(f.to_bytes(8, "little")) % n
-        subs = [min(mine, j) * n + max(mine, j) for j in range(n)] if t == 0 else [i * n + i for i in range(n)]
-        for a, v in zip(out, (k, t, f, None)):
-            a.append(np.array(subs if v is None else [v] * len(subs), a[0].dtype))
-    return [np.concatenate(a) for a in out]
+
+def _entries(fps: DataFrame, block: int) -> DataFrame:
+    """``key, sub, kind, fp``: table rows (kind 0) and ball rows (kind 1) of each fingerprint by segment value.
+
+    A bucket has ``tables`` blocks of table rows and ``balls`` blocks of ball rows; more than one of each only where a
+    segment value is crowded, or one bit from a crowded one. Its parts (``sub``) are the pairs of table blocks, and
+    those of a block with itself once for each block of ball rows; so each two table rows meet, and each ball row
+    meets each table row once.
+    """
+    segments = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))
+    table = fps.select(F.explode(segments).alias("key"), "fp")
+    ball = table.select(F.explode(_near("key", 0)).alias("key"), "fp")
+    rows = table.select("key", F.lit(0).cast("byte").alias("kind"), "fp").union(ball.select("key", F.lit(1).cast("byte").alias("kind"), "fp"))
+    crowds = written(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-crowds")
+    if crowds.isEmpty():
+        return rows.select("key", F.lit(0).cast("long").alias("sub"), "kind", "fp")
+    here = crowds.select("key", "n", F.lit(0).cast("long").alias("m"))
+    beside = crowds.select(F.explode(_near("key", 0)).alias("key"), F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / block)).cast("long")
+    dealt = written(here.union(beside).groupBy("key").agg(blocks("n").alias("tables"), blocks("m").alias("balls")), "simhash-blocks")
+    sub = """CASE WHEN tables IS NULL THEN array(0L)
+      WHEN kind = 1 THEN transform(sequence(0L, tables - 1), i -> (i * tables + i) * balls + pmod(xxhash64(1, fp), balls))
+      ELSE concat(transform(filter(sequence(0L, tables - 1), j -> j <> pmod(xxhash64(fp), tables)), j -> (least(j, pmod(xxhash64(fp), tables)) * tables + greatest(j, pmod(xxhash64(fp), tables))) * balls),
+        transform(sequence(0L, balls - 1), b -> pmod(xxhash64(fp), tables) * (tables + 1) * balls + b)) END"""
+    return rows.join(dealt, "key", "left").select("key", F.explode(F.expr(sub)).alias("sub"), "kind", "fp")
 
 
 def bucket_links(table: np.ndarray, ball: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -173,17 +172,13 @@ def _match(radius: int, chunk: int = 100_000):
 def fingerprint_links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``fp``) at most ``radius`` <= 3 bits apart.
 
-    The links connect exactly what all pairs would connect. A segment value held by more than ``block`` fingerprints
-    is dealt out over pairs of blocks; there are at most rows / block such values.
+    The links connect exactly what all pairs would connect. A segment value held by more than ``block`` fingerprints,
+    or next to such values, is dealt out in blocks, by a join.
     """
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius 1 find at most 3 differing bits")
     prepare(fps.sparkSession)
-    low = fps.select(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"))
-    high = fps.select(F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)).alias("key"))
-    hot = low.union(high).groupBy("key").count().where(F.col("count") > block).collect()
-    rows = _entries(fps, {r["key"]: -(-r["count"] // block) for r in hot})
-    return rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "kind").mapInArrow(_match(radius), "a long, b long")
+    return _entries(fps.select("fp"), block).repartition("key", "sub").sortWithinPartitions("key", "sub", "kind").mapInArrow(_match(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
@@ -203,10 +198,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def fingerprint_hex(col: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
-
-
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs``, all columns, with one document of each group: the one whose id names it. Rows without an id stay, as do
-    all rows that repeat the id of a document that stays: an id names one document."""
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__tessel_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__tessel_gone"), "left_anti")
