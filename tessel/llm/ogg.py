@@ -3,7 +3,9 @@
 ``encode`` multiplexes two logical streams into one file: unsigned 8-bit mono samples (the payload, whose granule
 position counts samples) and a comment stream with the payload's unpadded size. ``decode`` reads any such physical
 stream: it verifies the checksum of every page, reassembles packets from lacing values across pages, separates
-streams by serial number and dates each packet by the granule position of the page on which it ends.
+streams by serial number and dates packets by granule positions. A page's position is that after the last packet that
+ends on it; the packets before it are dated by counting the samples of those after them back, where the stream's own
+header tells what a sample is. A stream's kind and rate come from its header, its first packet.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ RATE = 8000
 PACKET = 4000
 PACKETS_PER_PAGE = 8
 AUDIO, NOTES = 1, 2
+SAMPLES, COMMENT = b"U8PCM", b"NOTES"
 #: Fixed values of the Ogg page format.
 CAPTURE, HEADER = b"OggS", struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -83,21 +86,50 @@ def pad64(data: bytes) -> bytes:
 
 def encode(payload: bytes, n_bytes: int, rate: int = RATE) -> bytes:
     """A physical stream that holds ``payload`` as samples, and its unpadded size in a comment."""
-    audio = [(b"U8PCM" + struct.pack("<IBQ", rate, 1, len(payload)), 0)]
+    audio = [(SAMPLES + struct.pack("<IBQ", rate, 1, len(payload)), 0)]
     audio += [(payload[k : k + PACKET], min(k + PACKET, len(payload))) for k in range(0, len(payload), PACKET)]
-    notes = [(b"NOTES" + struct.pack("<Q", n_bytes), 0), (b"end", len(payload))]
+    notes = [(COMMENT + struct.pack("<Q", n_bytes), 0), (b"end", len(payload))]
     a, b = stream_pages(AUDIO, audio), stream_pages(NOTES, notes)
     return b"".join([a[0], b[0], *a[1:], *b[1:]])
 
 
 @dataclass
 class Stream:
+    """``kind`` is that of the header (its first five bytes), empty if the stream's first page is lost or names no kind
+    known here; ``data`` leaves a known header out."""
+
+    rate: int
     packets: list[tuple[bytes, float | None]] = field(default_factory=list)
     partial: bytes | None = None
     number: int = 0
-    rate: int = RATE
+    kind: bytes = b""
+    started: bool = False
     ended: bool = False
 
+    @property
+    def data(self) -> list[tuple[bytes, float | None]]:
+        return self.packets[1:] if self.kind else self.packets
+
+    def head(self, packet: bytes) -> None:
+        if packet[:5] == SAMPLES and len(packet) >= 18 and (rate := struct.unpack_from("<I", packet, 5)[0]):
+            self.kind, self.rate = SAMPLES, rate
+        elif packet[:5] == COMMENT and len(packet) >= 13:
+            self.kind = COMMENT
+
+    def span(self, packet: bytes) -> int | None:
+        """Samples of a packet: its bytes, none in a comment; not known otherwise."""
+        return len(packet) if self.kind == SAMPLES else 0 if self.kind == COMMENT else None
+
+    def add(self, done: list[bytes], granule: int) -> None:
+        """Packets that end on a page, and its granule position."""
+        if done and self.started and not self.packets:
+            self.head(done[0])
+        after: list[int | None] = [granule if granule >= 0 else None]
+        for p in reversed(done[1:]):
+            n = self.span(p)
+            after.append(None if n is None or after[-1] is None else after[-1] - n)
+        self.packets += [(p, None if a is None else max(0, a) / self.rate) for p, a in zip(done, reversed(after))]
+
 
 @dataclass
 class Demuxed:
@@ -106,10 +138,17 @@ class Demuxed:
     bad: int
     gaps: int
 
+    def of(self, kind: bytes) -> Stream | None:
+        """The first stream of a kind; for samples, if the header is lost, the only stream without a known kind."""
+        found = [s for s in self.streams.values() if s.kind == kind]
+        lost = [s for s in self.streams.values() if not s.kind] if kind == SAMPLES and not found else []
+        return found[0] if found else lost[0] if len(lost) == 1 else None
+
 
 def decode(media: bytes | None, rate: int = RATE) -> Demuxed:
     """Packets and their times in seconds by serial number. Pages with a wrong checksum are skipped and counted, as
-    are gaps in page numbers; a packet cut by either is dropped. Bytes between pages are passed over."""
+    are gaps in page numbers; a packet cut by either is dropped. Bytes between pages are passed over. ``rate`` is for
+    streams whose header names none."""
     out = Demuxed({}, 0, 0, 0)
     media = media or b""
     at = media.find(CAPTURE)
@@ -123,7 +162,7 @@ def decode(media: bytes | None, rate: int = RATE) -> Demuxed:
             at = media.find(CAPTURE, at + 1)
             continue
         out.pages += 1
-        s = out.streams.setdefault(serial, Stream(rate=rate, number=number))
+        s = out.streams.setdefault(serial, Stream(rate, number=number, started=bool(flags & FIRST)))
         if number != s.number:
             out.gaps += 1
             s.partial = None
@@ -142,20 +181,18 @@ def decode(media: bytes | None, rate: int = RATE) -> Demuxed:
                 body, run, data, skip = body + run, 0, b"", False
         if values and values[-1] == 255:
             s.partial = None if skip else data + media[body : body + run]
-        s.packets += [(p, None) for p in done[:-1]]
-        if done:
-            s.packets.append((done[-1], granule / s.rate if granule >= 0 else None))
+        s.add(done, granule)
         s.ended |= bool(flags & LAST)
         at = media.find(CAPTURE, end)
     return out
 
 
 def read_back(media: bytes | None) -> tuple[bytes, int, Demuxed]:
-    """Payload, unpadded size and all else from the stored bytes alone."""
+    """Payload, unpadded size (0 if the comment is lost) and all else from the stored bytes alone."""
     d = decode(media)
-    audio, notes = d.streams.get(AUDIO), d.streams.get(NOTES)
-    payload = b"".join(p for p, _ in audio.packets[1:]) if audio else b""
-    size = struct.unpack_from("<Q", notes.packets[0][0], 5)[0] if notes and notes.packets else 0
+    audio, notes = d.of(SAMPLES), d.of(COMMENT)
+    payload = b"".join(p for p, _ in audio.data) if audio else b""
+    size = struct.unpack_from("<Q", notes.packets[0][0], 5)[0] if notes else 0
     return payload, size, d
 
 
@@ -172,13 +209,17 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
+def duration(d: Demuxed) -> float:
+    audio = d.of(SAMPLES)
+    return max((t for _, t in audio.packets if t is not None), default=0.0) if audio else 0.0
+
+
 def feature(payload: bytes, d: Demuxed) -> str:
     """Duration, packets, mean level and zero crossings about mid level of the samples, as text."""
     x = np.frombuffer(payload, np.uint8)
     level = float(x.mean()) if len(x) else 0.0
     above = x >= 128
-    times = [t for _, t in d.streams[AUDIO].packets if t is not None] if AUDIO in d.streams else []
-    return f"seconds={max(times, default=0.0):.4f};packets={sum(len(s.packets) for s in d.streams.values())};mean={level:.4f};crossings={int((above[1:] != above[:-1]).sum())}"
+    return f"seconds={duration(d):.4f};packets={sum(len(s.packets) for s in d.streams.values())};mean={level:.4f};crossings={int((above[1:] != above[:-1]).sum())}"
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -195,8 +236,7 @@ def media_features(media: DataFrame) -> DataFrame:
             for m in b.column(1).to_pylist():
                 p, n, d = read_back(m)
                 m = m or b""
-                times = [t for _, t in d.streams[AUDIO].packets if t is not None] if AUDIO in d.streams else []
-                rows.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(p, d), d.pages, d.bad, max(times, default=0.0)))
+                rows.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(p, d), d.pages, d.bad, duration(d)))
             cols = list(zip(*rows)) if rows else [()] * 10
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
