@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .runtime import prepare, written
 from .text import Words, mix64, run_hash, sequence_sums, signed, word_power, word_runs
 
-#: Shorter lines are left alone.
+#: Shorter lines are compared for equality only.
 MIN_WORDS = 8
 _LENGTH = np.uint64(0xA24BAED4963EE407)
 
@@ -33,9 +33,8 @@ def line_groups(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(w.start):
         e = np.empty(0, np.int64)
         return e, e, e
-    breaks = np.zeros(len(w.buf) + 1, np.int64)
-    np.cumsum(w.buf == 10, out=breaks[1:])
-    number = breaks[w.start] - breaks[w.offsets[w.doc]]
+    breaks = np.flatnonzero(w.buf == 10)
+    number = np.searchsorted(breaks, w.start) - np.searchsorted(breaks, w.offsets[:-1])[w.doc]
     first = np.flatnonzero(np.concatenate(([True], (np.diff(w.doc) != 0) | (np.diff(number) != 0))))
     last = np.concatenate((first[1:], [len(w.start)]))
     return first, last, number[first]
@@ -121,18 +120,21 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(per_doc, docs.doc_id.eqNullSafe(F.col("__tessel_doc"))).select("doc_id", "text", "wanted")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int = 1) -> DataFrame:
     """The lines to drop: ``doc_id, line_no, n_words, keeper_doc_id, keeper_line_no, edits``.
 
     A line of at least ``min_words`` words is dropped if an earlier line of the corpus, in the order of (doc_id, line
-    number), is within one word edit; the keeper is the earliest such line and ``edits`` is 0 or 1. Lines are split at
-    newlines and numbered from 0. Null, empty and short texts give nothing; a null doc_id sorts first; rows that share
-    a doc_id share the places of their lines, and of two lines at one place neither is earlier.
+    number), is within one word edit; one of at least ``exact_words`` words, if an earlier line has the same words. The
+    keeper is the earliest such line and ``edits`` is 0 or 1. The keeper of a line may have a keeper itself: links are
+    not carried on, so in a chain of lines each one edit from the next all but the first go. Lines are split at
+    newlines and numbered from 0. Null, empty and wordless texts give nothing; a null doc_id sorts first; rows that
+    share a doc_id share the places of their lines, and of two lines at one place neither is earlier:
+    ``without_duplicate_lines`` tells such rows apart.
     """
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    lines = written(src.mapInArrow(_line_rows(min_words if exact_words is None else min(exact_words, min_words)), f"doc_id {id_type}, line_no int, n_words int, h long, p0 long, p1 long, s0 long, s1 long"), "lines")
+    lines = written(src.mapInArrow(_line_rows(min(exact_words, min_words)), f"doc_id {id_type}, line_no int, n_words int, h long, p0 long, p1 long, s0 long, s1 long"), "lines")
     place = F.struct("doc_id", "line_no")
     classes = written(lines.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("n_words").alias("n_words"), *(F.min(c).alias(c) for c in ("p0", "p1", "s0", "s1"))), "line-classes")
 
@@ -167,9 +169,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "line_no", "n_words", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"), edits.alias("edits"))
 
 
-def drop_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the dropped lines (``doc_id, line_no``) taken out of its texts; other columns stay."""
-    per_doc = dropped.groupBy(F.col("doc_id").alias("__tessel_doc")).agg(F.collect_set("line_no").alias("__tessel_drop"))
+def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, exact_words: int = 1) -> DataFrame:
+    """``docs`` with the lines that ``duplicate_lines`` drops taken out of its texts; other columns stay.
+
+    Rows are told apart by id and text, in the order of the id and then a hash of the text: an id may be null or come
+    again with another text. Rows that repeat both keep what is nowhere else.
+    """
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("fp"))
+    keyed = docs.withColumn("__tessel_row", row)
+    dropped = duplicate_lines(keyed, "__tessel_row", text_col, min_words, exact_words)
+    per_row = dropped.groupBy(F.col("doc_id").alias("__tessel_doc")).agg(F.collect_set("line_no").alias("__tessel_drop"))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__tessel_drop", i)), "\n")
     text = F.when(F.col("__tessel_drop").isNull(), F.col(text_col)).otherwise(kept)
-    return docs.join(per_doc, docs[id_col].eqNullSafe(F.col("__tessel_doc")), "left").withColumn(text_col, text).drop("__tessel_doc", "__tessel_drop")
+    return keyed.join(per_row, keyed["__tessel_row"] == F.col("__tessel_doc"), "left").withColumn(text_col, text).select(docs.columns)

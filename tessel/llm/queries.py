@@ -100,15 +100,15 @@ SQL = {
         w AS (
           SELECT doc_id, line_no, regexp_extract_all({_FOLD.format("line")}, '[^\x20\x09-\x0D]+') AS words FROM split),
         l AS (
-          SELECT doc_id, line_no, words, len(words) AS n, doc_id * 10000000 + line_no AS spot FROM w WHERE len(words) >= {lines.MIN_WORDS}),
+          SELECT doc_id, line_no, words, len(words) AS n, doc_id * 10000000 + line_no AS spot FROM w WHERE len(words) > 0),
         c AS (SELECT words, min(spot) AS spot, any_value(n) AS n FROM l GROUP BY words),
         v AS (
           SELECT words, spot, p, list_concat(words[1 : p - 1], words[p + 1 : n]) AS cut
-          FROM (SELECT words, spot, n, unnest(range(1, n + 1)) AS p FROM c)),
+          FROM (SELECT words, spot, n, unnest(range(1, n + 1)) AS p FROM c WHERE n >= {lines.MIN_WORDS})),
         sub AS (SELECT words, min(spot) OVER (PARTITION BY cut, p) AS other FROM v),
         ins AS (
-          SELECT v.words, c.spot AS other FROM v JOIN c ON v.cut = c.words
-          UNION ALL SELECT c.words, v.spot FROM v JOIN c ON v.cut = c.words),
+          SELECT v.words, c.spot AS other FROM v JOIN c ON v.cut = c.words WHERE c.n >= {lines.MIN_WORDS}
+          UNION ALL SELECT c.words, v.spot FROM v JOIN c ON v.cut = c.words WHERE c.n >= {lines.MIN_WORDS}),
         best AS (SELECT words, min(other) AS other FROM (SELECT * FROM sub UNION ALL SELECT * FROM ins) GROUP BY words),
         k AS (
           SELECT l.doc_id, l.line_no, l.n, l.spot, c.spot AS own, least(c.spot, coalesce(b.other, c.spot)) AS keeper
