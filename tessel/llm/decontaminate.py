@@ -7,6 +7,7 @@ matches are mapped back to its words and from there to offsets in the original.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare
+from .runtime import SharedFiles, prepare
 
-#: Characters of patterns in one automaton; more test text makes more automata, used one after the other.
+#: Characters of patterns in one automaton; more test text makes more automata, used one after the other, each for
+#: HELD_BYTES of text at a time.
 AUTOMATON_CHARS = 40_000_000
+HELD_BYTES = 64 << 20
 _TABLE = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -48,17 +51,19 @@ def build(items: list[tuple], width: int) -> "ahocorasick.Automaton":
     return a
 
 
-def scan(words: list[bytes], a: "ahocorasick.Automaton", hit: np.ndarray, items: set) -> None:
-    """Mark the words inside any occurrence and collect the items."""
+def scan(words: list[bytes], a: "ahocorasick.Automaton", hit: np.ndarray, items: set, width: int) -> bool:
+    """Mark the words inside any occurrence and collect the items; whether a window of ``width`` words occurs."""
     if not words or not len(a):
-        return
-    starts = None
+        return False
+    starts, whole = None, False
     for end, (n, who) in a.iter(f" {b' '.join(words).decode('latin-1')} "):
         if starts is None:
             starts = np.cumsum([1, *(len(w) + 1 for w in words)])  # a window ends on the space before starts[k]
         last = int(np.searchsorted(starts, end + 1)) - 1
         hit[last - n + 1 : last + 1] = True
         items.update(who)
+        whole |= n == width
+    return whole
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
@@ -78,49 +83,78 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": where[s][0], "end": where[e - 1][1]} for s, e in edge.tolist()]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int) -> Iterator[list[tuple]]:
-    block, size = [], 0
+def _stored(benchmark: DataFrame, item_col: str, text_col: str, width: int, limit: int) -> tuple[SharedFiles, int]:
+    """Test items in files of the shared folder, each of as much text as one automaton takes; the number of files.
+
+    Items pass through the driver one after the other; only a file's worth is held."""
+    files = SharedFiles.create(benchmark.sparkSession, "benchmark")
+    block, size, n = [], 0, 0
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
         if r["t"] is None:
             continue
         block.append((r["i"], r["t"]))
         size += len(r["t"]) * width
         if size >= limit:
-            yield block
-            block, size = [], 0
+            files.write(str(n), pickle.dumps(block))
+            block, size, n = [], 0, n + 1
     if block:
-        yield block
+        files.write(str(n), pickle.dumps(block))
+    return files, n + bool(block)
+
+
+#: The automaton that this worker process built last, and what it was built from.
+_built: dict[tuple, "ahocorasick.Automaton"] = {}
+
 
+def _automaton(files: SharedFiles, k: int, width: int) -> "ahocorasick.Automaton":
+    key = (files.uri, k, width)
+    if key not in _built:
+        _built.clear()
+        _built[key] = build(pickle.loads(files.map(str(k)).tobytes()), width)
+    return _built[key]
 
-def _matcher(sent: list, width: int):
-    """Words, hit words and items of texts; of several automata one is in memory at a time."""
-    single = build(sent[0].value, width) if len(sent) == 1 else None
 
-    def match(texts: list):
-        words = [normal_words(t) for t in texts]
-        hits = [np.zeros(len(w), bool) for w in words]
-        items: list[set] = [set() for _ in words]
-        for block in sent:
-            a = single or build(block.value, width)
-            for w, h, i in zip(words, hits, items):
-                scan(w, a, h, i)
-        return words, hits, items
+def _matched(batches: Iterator[pa.RecordBatch], at: int, files: SharedFiles, n: int, width: int) -> Iterator[tuple]:
+    """Batches with the texts in column ``at``, and the words, hit words, items and whether a whole window occurs of
+    each. One automaton is built once for a worker; of several, each is built once for HELD_BYTES of text."""
 
-    return match
+    def flush(held: list) -> Iterator[tuple]:
+        found = []
+        for b in held:
+            texts = b.column(at).to_pylist()
+            words = [normal_words(t) for t in texts]
+            found.append((b, texts, words, [np.zeros(len(w), bool) for w in words], [set() for _ in words], np.zeros(len(words), bool)))
+        for k in range(n):
+            a = _automaton(files, k, width)
+            for _, _, words, hits, items, whole in found:
+                for i, w in enumerate(words):
+                    whole[i] |= scan(w, a, hits[i], items[i], width)
+        yield from found
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(at).nbytes
+        if n < 2 or size >= HELD_BYTES:
+            yield from flush(held)
+            held, size = [], 0
+    yield from flush(held)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, min_share: int = 20, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
-    """``docs``, all columns, without contaminated rows: those of whose words at least one in ``min_share`` is hit."""
-    spark = docs.sparkSession
-    prepare(spark)
-    sent = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, width, automaton_chars)]
+    """``docs``, all columns, without contaminated rows.
+
+    A row goes if its text holds ``width`` consecutive words of a test item, however long the text, or if items shorter
+    than that make up at least one in ``min_share`` of its words: a short answer inside a long text says nothing.
+    Each row is judged by itself; null and wordless texts stay.
+    """
+    prepare(docs.sparkSession)
+    files, n = _stored(benchmark, item_col, item_text_col, width, automaton_chars)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = _matcher(sent, width)
-        for b in batches:
-            words, hits, _ = match(b.column(at).to_pylist())
-            yield b.filter(pa.array([not (0 < h.sum() and h.sum() * min_share >= len(w)) for w, h in zip(words, hits)], pa.bool_()))
+        for b, _, words, hits, _, whole in _matched(batches, at, files, n, width):
+            yield b.filter(pa.array([not (full or 0 < h.sum() and h.sum() * min_share >= len(w)) for w, h, full in zip(words, hits, whole)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -131,18 +165,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``items`` are the ids of test items of which a window occurs, sorted as strings; items without an id
     hit like any other, are left out of ``items`` and count in ``n_items`` as one; ``spans`` are the character
     bounds of hit passages in the original text. Null or wordless texts and items match nothing; repeated rows are
-    rows of their own; items with the same window are all named. An empty benchmark hits nothing. Test items are
-    held in blocks of bounded size; a worker loads one automaton at a time.
+    rows of their own; items with the same window are all named. An empty benchmark hits nothing. Test items lie in
+    files of the shared folder, as much in each as an automaton of bounded size takes; a worker holds one automaton.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    sent = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, width, automaton_chars)]
+    prepare(docs.sparkSession)
+    files, n = _stored(benchmark, item_col, item_text_col, width, automaton_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = _matcher(sent, width)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            words, hits, items = match(texts)
+        for b, texts, words, hits, items, _ in _matched(batches, 1, files, n, width):
             yield pa.record_batch(
                 [
                     b.column(0),
