@@ -255,11 +255,11 @@ def brute_lines(rows):
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             w = lines.words(line)
-            if len(w) >= lines.MIN_WORDS:
+            if w:
                 at.append(((d is not None, d or 0, k), d, k, w))
     out = set()
     for p, d, k, w in at:
-        near = [q for q in at if q[0] < p and lines.one_edit(w, q[3])]
+        near = [q for q in at if q[0] < p and (w == q[3] or min(len(w), len(q[3])) >= lines.MIN_WORDS and lines.one_edit(w, q[3]))]
         if near:
             first = min(near, key=lambda q: q[0])
             out.add((d, k, first[1], first[2], int(first[3] != w)))
@@ -289,9 +289,12 @@ def test_one_edit():
 
 
 def test_dropped_lines_leave_the_rest(spark):
-    df = spark.createDataFrame([(1, "a\nb\nc", 5), (2, None, 6), (None, "x\ny", 7)], "doc_id long, text string, extra int")
-    drop = spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, line_no int")
-    assert sorted((r["extra"], r["text"]) for r in lines.drop_lines(df, drop).collect()) == [(5, "a\nc"), (6, None), (7, "y")]
+    long = "one two three four five six seven eight"
+    rows = [(0, "x\ny", 4), (1, f"a\n{long}\nc", 5), (2, None, 6), (None, "x\nz", 7), (1, "x\ny", 8), (1, "p\n\nq", 9), (3, f"{long} nine\nr", 10), (3, f"{long} nine\nr", 11)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, extra int, line_no string")
+    got = lines.without_duplicate_lines(df)
+    assert got.columns == df.columns
+    assert sorted((r["extra"], r["text"]) for r in got.collect()) == [(4, "y"), (5, f"a\n{long}\nc"), (6, None), (7, "x\nz"), (8, ""), (9, "p\n\nq"), (10, "r"), (11, "r")]
 
 
 # 4
@@ -385,11 +388,13 @@ def test_languages_of_odd_rows(spark, odd, empty, docs):
 
 def test_masks_have_no_false_negatives():
     rows = [("a", k) for k in range(0, 900, 3)] + [("b", k) for k in range(0, 900, 5)]
-    f = langid.build([(x, int(text.signed(text.mix64(np.array([k], np.uint64)))[0])) for x, k in rows], ["a", "b"], 1 << 12)
-    m = f.masks(text.mix64(np.arange(900, dtype=np.uint64)))
+    marks = [langid.positions(text.mix64(np.array([k for x, k in rows if x == name], np.uint64)), b, 1 << 12) for b, name in enumerate("ab")]
+    f = langid.build(*(np.concatenate(x) for x in zip(*marks)), ["a", "b"], 1 << 12)
+    m = f.masks(text.mix64(np.arange(900, dtype=np.uint64)))[:, 0]
     assert (m[::3] & 1).all() and (m[::5] & 2).all() and ((m & 1).mean() - 1 / 3) < 0.05
-    with pytest.raises(ValueError):
-        langid.build([], [str(k) for k in range(65)])
+    many = langid.build(*(np.concatenate(x) for x in zip(*(langid.positions(text.mix64(np.array([k, k + 1], np.uint64)), k, 1 << 12) for k in range(130)))), [str(k) for k in range(130)], 1 << 12)
+    m = many.masks(text.mix64(np.arange(131, dtype=np.uint64)))
+    assert all(many.has(m, k)[k] and many.has(m, k)[k + 1] for k in range(130)) and sum(int(many.has(m, k).sum()) for k in range(130)) < 300
 
 
 # 8
@@ -465,8 +470,8 @@ def test_simhash_of_odd_rows(odd, empty):
     got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.simhash_groups(odd).collect()]
     assert len(got) == len(odd_rows()) and {c for d, f, c in got if d in (1, 2, 3)} == {1} and {c for d, _, c in got if d in (5, 6)} == {5}
     assert simhash.simhash_groups(empty).count() == 0
-    kept = simhash.keep_one(odd, simhash.simhash_groups(odd))
-    assert kept.columns == odd.columns and kept.where("doc_id in (2, 3, 6)").count() == 0 and kept.where("doc_id = 10").count() == 2
+    named = simhash.simhash_groups(odd.select(F.concat(F.lit("doc-"), F.lpad("doc_id", 3, "0")).alias("doc_id"), "text"))
+    assert {r["component_id"] for r in named.where("doc_id in ('doc-001', 'doc-002', 'doc-003')").collect()} == {"doc-001"}
 
 
 # 9
@@ -573,6 +578,29 @@ def test_media_of_odd_rows(spark, odd, empty):
 # pipeline
 
 
+def brute_jaccard(texts):
+    """Components of the links of documents whose 5-word shingles are alike to 0.8, over all pairs that share one."""
+    sets, holders = {}, defaultdict(list)
+    for d, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        for s in sets[d]:
+            holders[s].append(d)
+    up = {d: d for d in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in {(a, b) for ds in holders.values() for a in ds for b in ds if a < b}:
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    return {d: find(d) for d in texts}
+
+
 def brute_pipeline_ids(rows, bench, identified):
     """Stages 3, 8 and 6 over the documents that the first stage kept: ids and texts left."""
     kept = [(d, t) for d, t in rows if d in identified]
@@ -581,33 +609,36 @@ def brute_pipeline_ids(rows, bench, identified):
     for d, t in kept:
         for k, line in enumerate((t or "").split("\n")):
             w = tuple(lines.words(line))
-            if len(w) >= lines.MIN_WORDS:
+            if w:
                 at.append((d, k, w))
                 where[w].append((d, k))
+            if len(w) >= lines.MIN_WORDS:
                 for i in range(len(w)):
                     where[w[:i] + (None,) + w[i + 1 :]].append((d, k))
                     where["cut", w[:i] + w[i + 1 :]].append((d, k))
     for d, k, w in at:
-        near = [*where[w], *where["cut", w]]
-        for i in range(len(w)):
-            near += where[w[:i] + (None,) + w[i + 1 :]] + where[w[:i] + w[i + 1 :]]
+        near = [*where[w], *(where["cut", w] if len(w) >= lines.MIN_WORDS else [])]
+        for i in range(len(w) if len(w) >= lines.MIN_WORDS else 0):
+            near += where[w[:i] + (None,) + w[i + 1 :]]
+            near += where[w[:i] + w[i + 1 :]] if len(w) > lines.MIN_WORDS else []
         if min(near) < (d, k):
             drop[d].add(k)
     kept = [(d, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[d])) for d, t in kept]
     kept = [(d, t) for d, t in kept if t is None or t.strip(" \t\n\r\x0b\x0c")]
-    comp = brute_components({d: brute_fingerprint(t) for d, t in kept})
+    comp = brute_jaccard({d: t for d, t in kept})
     kept = [(d, t) for d, t in kept if comp[d] == d]
     pats = {tuple(w) for _, b in bench for w in (x.split() for x in decontaminate.windows(b, 13))}
     sizes = {len(p) for p in pats}
     out = {}
     for d, t in kept:
         w = decontaminate.normal_words(t)
-        hit = set()
+        hit, whole = set(), False
         for n in sizes:
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in pats:
                     hit.update(range(k, k + n))
-        if not (hit and 20 * len(hit) >= len(w)):
+                    whole |= n == 13
+        if not (whole or hit and 20 * len(hit) >= len(w)):
             out[d] = t
     return out
 

@@ -60,11 +60,11 @@ def test_copies_with_short_lines_do_not_survive(spark):
     assert left == {d: t for d, t in rows if d < 100}
 
 
-def test_short_lines_are_dropped_when_asked(spark):
+def test_short_lines_are_dropped(spark):
     df = spark.createDataFrame([(1, "one two\na\n\none Two"), (2, "a\none two x\nb"), (3, "1 2 3 4 5 6 7 8"), (4, "1 2 3 4 5 6 7"), (5, "1 2 3 4 5 6 7 9")], "doc_id long, text string")
     take = lambda **k: {tuple(r) for r in lines.duplicate_lines(df, **k).select("doc_id", "line_no", "keeper_doc_id", "keeper_line_no", "edits").collect()}
-    assert take() == {(5, 0, 3, 0, 1)}
-    assert take(exact_words=1) == {(5, 0, 3, 0, 1), (1, 3, 1, 0, 0), (2, 0, 1, 1, 0)}
+    assert take(exact_words=8) == {(5, 0, 3, 0, 1)}
+    assert take() == {(5, 0, 3, 0, 1), (1, 3, 1, 0, 0), (2, 0, 1, 1, 0)}
 
 
 def test_rows_that_share_an_id_are_judged_each_by_itself(spark):
