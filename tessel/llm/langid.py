@@ -41,16 +41,17 @@ class MaskFilter:
     fpr: np.ndarray
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        out = None
-        for k in range(HASHES):
-            m = self.slots[_slot(h, k, len(self.slots))]
-            out = m if out is None else out & m
+        slots = self.slots.ravel() if self.slots.shape[1] == 1 else self.slots
+        out = slots[_slot(h, 0, len(slots))]
+        for k in range(1, HASHES):
+            out &= slots[_slot(h, k, len(slots))]
         return out
 
     def has(self, masks: np.ndarray, lang: int) -> np.ndarray:
         """The bit of a language in each of the masks."""
         bits = masks.dtype.itemsize * 8
-        return (masks[:, lang // bits] >> masks.dtype.type(lang % bits)) & masks.dtype.type(1)
+        word = masks[:, lang // bits] if masks.ndim == 2 else masks
+        return (word >> masks.dtype.type(lang % bits)) & masks.dtype.type(1)
 
 
 def _slot(h: np.ndarray, k: int, size: int) -> np.ndarray:
@@ -62,12 +63,13 @@ def grams(buf: np.ndarray, offsets: np.ndarray, n: int = GRAM) -> tuple[np.ndarr
     m = len(buf) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    letters = np.where((buf >= 0x80) | ((buf >= 97) & (buf <= 122)), buf, 32).astype(np.uint64)
+    letters = np.where((buf >= 0x80) | ((buf >= 97) & (buf <= 122)), buf, np.uint8(32))
     h = np.zeros(m, np.uint64)
     blank = np.zeros(m, bool)
     for k in range(n):
         part = letters[k : k + m]
-        h = (h << np.uint64(8)) | part
+        h <<= np.uint64(8)
+        h |= part
         if k:
             blank |= (part == 32) & (letters[k - 1 : k - 1 + m] == 32)
     inside = np.ones(m, bool)
@@ -153,7 +155,7 @@ def score_texts(col: pa.Array, f: MaskFilter) -> tuple[np.ndarray, np.ndarray]:
     n, k = len(col), len(f.langs)
     hits, total = np.zeros((n, k)), np.zeros(n)
     buf, offsets = text_buffer(_lower(col))
-    for lo, hi in spans(offsets):
+    for lo, hi in spans(offsets, 1 << 19):
         own = offsets[lo : hi + 1] - offsets[lo]
         h, at = grams(buf[offsets[lo] : offsets[hi]], own)
         if not len(h):
