@@ -6,8 +6,11 @@ by exact Jaccard similarity of their shingles inside the bucket, where a spannin
 connected components name what to remove.
 
 A passage can also stand inside paragraphs that otherwise differ. Winnowing picks a least-hashed window of words in
-every run of windows, so that any two places that share ``guarantee`` words share a picked window; windows picked in two
-places or more are reported as well.
+every run of windows, so that any two places that share ``guarantee`` words share a picked window. Windows picked in two
+places or more are joined to chains: picked windows that follow each other in a text, follow each other at the same
+distance in the text of their group's first place, and have the same words between them there. The ends of a chain are
+then extended, word by word, as far as both texts agree. Both the shingles of paragraphs and the words around the ends of
+chains are taken in one further pass over the texts.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
-from .lines import line_groups, sealed, wanted_lines
-from .runtime import prepare, written
-from .text import mix64, run_hash, sequence_sums, signed, word_runs
+from .lines import line_groups, sealed
+from .runtime import discard, prepare, written
+from .text import Words, mix64, run_hash, sequence_sums, signed, word_runs
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -106,19 +110,19 @@ def anchors(h: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> n
 
 
 def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
-    names = ["kind", "doc_id", "unit", "start", "end", "n_words", "h", "bands"]
+    names = ["kind", "doc_id", "fp", "unit", "start", "end", "n_words", "h", "bands", "gap", "link"]
 
-    def rows_of(kind, ids, unit, start, end, n, h, keys):
+    def rows_of(kind, own, unit, start, end, n, h, keys, gap=None, link=None):
         lists = pa.nulls(len(h), pa.list_(pa.int64())) if keys is None else pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(signed(np.ascontiguousarray(keys)).ravel()))
-        return pa.record_batch([pa.array(np.full(len(h), kind, np.int8)), ids, pa.array(unit.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(h)), lists], names=names)
+        more = [pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.int64())] if gap is None else [pa.array(gap.astype(np.int32)), pa.array(signed(link))]
+        return pa.record_batch([pa.array(np.full(len(h), kind, np.int8)), *own.columns[:2], pa.array(unit.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(h)), lists, *more], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, _, w in word_runs(b.column(1)):
+            for lo, _, w in word_runs(b.column(2)):
                 if not len(w.start):
                     continue
-                chars = np.zeros(len(w.buf) + 1, np.int64)
-                np.cumsum((w.buf & 0xC0) != 0x80, out=chars[1:])
+                chars = char_numbers(w)
                 at = lambda pos, doc: chars[pos] - chars[w.offsets[doc]]
                 sums = sequence_sums(w.hash)
                 first, last, number = line_groups(w)
@@ -131,7 +135,7 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
                     k = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(begin, many)
                     keys = band_keys(mix64(run_hash(sums, k, k + SHINGLE)), begin, bands, rows)
                     d = w.doc[first]
-                    yield rows_of(0, b.column(0).take(pa.array(lo + d)), number, at(w.start[first], d), at(w.end[last - 1], d), n, sealed(run_hash(sums, first, last), n), keys)
+                    yield rows_of(0, b.take(pa.array(lo + d)), number, at(w.start[first], d), at(w.end[last - 1], d), n, sealed(run_hash(sums, first, last), n), keys)
                 bounds = w.bounds()
                 f, l = bounds[:-1], np.maximum(bounds[:-1], bounds[1:] - window + 1)
                 usable = np.arange(max(0, len(w.start) - window + 1))
@@ -140,65 +144,74 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
                 k = anchors(g, f, l, guarantee - window + 1)
                 if len(k):
                     d = w.doc[k]
-                    yield rows_of(1, b.column(0).take(pa.array(lo + d)), k - bounds[d], at(w.start[k], d), at(w.end[k + window - 1], d), np.full(len(k), window), g[k], None)
+                    gap = np.where(np.append(d[1:] == d[:-1], False), np.append(np.diff(k), 0), 0)
+                    link = sealed(run_hash(sums, k, k + gap), gap)
+                    yield rows_of(1, b.take(pa.array(lo + d)), k - bounds[d], at(w.start[k], d), at(w.end[k + window - 1], d), np.full(len(k), window), g[k], None, gap, link)
 
     return run
 
 
-def _side(hashes: np.ndarray, bounds: np.ndarray, doc: int, k: int, window: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words before window k, the nearest first, and of those after it."""
-    lo, hi = max(bounds[doc], k - reach), min(bounds[doc + 1], k + window + reach)
-    return hashes[lo:k][::-1], hashes[k + window : hi]
+def char_numbers(w: Words) -> np.ndarray:
+    """For each byte of the texts, the characters before it."""
+    chars = np.zeros(len(w.buf) + 1, np.int32 if len(w.buf) < 1 << 31 else np.int64)
+    np.cumsum((w.buf & 0xC0) != 0x80, dtype=chars.dtype, out=chars[1:])
+    return chars
 
 
-def _picked(batch: pa.RecordBatch, window: int) -> Iterator[tuple]:
-    """The words, their word bounds, and the wanted windows (text, first word, entry) of each piece of doc_id, text, wanted."""
-    wanted = batch.column(2).to_pylist()
-    for lo, hi, w in word_runs(batch.column(1)):
-        bounds, sums = w.bounds(), sequence_sums(w.hash)
-        found = []
-        for d in range(hi - lo):
-            xs = [x for x in wanted[lo + d] if bounds[d] + x["line_no"] + window <= bounds[d + 1]]
-            k = np.array([bounds[d] + x["line_no"] for x in xs], np.int64)
-            own = signed(mix64(run_hash(sums, k, k + window) + np.uint64(1))).tolist()
-            found += [(d, int(a), x) for a, x, h in zip(k, xs, own) if h == x["h"]]
-        yield lo, w, bounds, found
+#: What the second pass finds: shingles of a paragraph (kind 0), or the words on one side of a window at the end of a
+#: chain (kind 1), nearest first, each as half of its hash, and the characters at which the text begins or ends with it.
+_SECOND = "kind byte, h long, shingles array<long>, doc_id {0}, fp long, side byte, head boolean, chain struct<unit:int,last:int,start:int,end:int,group_doc_id:{0},group_unit:int>, words array<int>, chars array<int>"
 
 
-def _contexts(window: int, reach: int):
-    """From doc_id, text and wanted windows: the words around each."""
+def _second(window: int, reach: int):
+    """From doc_id, fp, text, wanted lines and wanted ends of chains."""
+
+    def lists(xs: list, kind: pa.DataType) -> pa.Array:
+        cuts = np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64), kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, w, bounds, found in _picked(b, window):
-                near = [_side(signed(w.hash), bounds, d, k, window, reach) for d, k, _ in found]
-                yield pa.record_batch([pa.array([x["h"] for *_, x in found], pa.int64()), *(pa.array([n[s].tolist() for n in near], pa.list_(pa.int64())) for s in (0, 1))], names=["h", "before", "after"])
-
-    return run
-
+            wanted, ends, chain_type = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(4).type.value_type.field("chain").type
 
-def _extended(window: int, reach: int):
-    """From doc_id, text and wanted windows with the words around their group's first place: the run equal to it."""
+            def rows(own, kind, h, shingles, side, head, chain, near, chars):
+                n = len(h)
+                return pa.record_batch(
+                    [pa.array([kind] * n, pa.int8()), pa.array(h, pa.int64()), shingles, *own.columns[:2], pa.array(side, pa.int8()), pa.array(head, pa.bool_()), pa.array(chain, chain_type), near, chars],
+                    names=["kind", "h", "shingles", "doc_id", "fp", "side", "head", "chain", "words", "chars"],
+                )
 
-    def same(a: np.ndarray, b: list) -> int:
-        n = min(len(a), len(b))
-        unlike = np.flatnonzero(a[:n] != np.array(b[:n], np.int64))
-        return int(unlike[0]) if len(unlike) else n
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, w, bounds, found in _picked(b, window):
-                chars = np.zeros(len(w.buf) + 1, np.int64)
-                np.cumsum((w.buf & 0xC0) != 0x80, out=chars[1:])
-                out = []
-                for d, k, x in found:
-                    before, after = _side(signed(w.hash), bounds, d, k, window, reach)
-                    f, l = k - same(before, x["before"]), k + window + same(after, x["after"])
-                    base = chars[w.offsets[d]]
-                    out.append((lo + d, x["line_no"], chars[w.start[f]] - base, chars[w.end[l - 1]] - base, l - f, x["h"]))
-                cols = list(zip(*out)) if out else [()] * 6
-                ids = b.column(0).take(pa.array(cols[0], pa.int64()))
-                yield pa.record_batch([ids, *(pa.array(c, pa.int32()) for c in cols[1:5]), pa.array(cols[5], pa.int64())], names=["doc_id", "unit", "start", "end", "n_words", "h"])
+            for lo, hi, w in word_runs(b.column(2)):
+                first, last, number = line_groups(w)
+                sums = sequence_sums(w.hash)
+                bounds = w.bounds()
+                line_at = {(d, n): k for k, (d, n) in enumerate(zip(w.doc[first].tolist(), number.tolist()))}
+                hs, sets, of = [], [], []
+                for d in range(hi - lo):
+                    for x in wanted[lo + d]:
+                        k = line_at[d, x["line_no"]]
+                        p = np.arange(first[k], max(first[k] + 1, last[k] - SHINGLE + 1))
+                        hs.append(x["h"])
+                        sets.append(np.unique(signed(mix64(run_hash(sums, p, np.minimum(p + SHINGLE, last[k]))))))
+                        of.append(lo + d)
+                if hs:
+                    none = [None] * len(hs)
+                    yield rows(b.take(pa.array(of)), 0, hs, lists(sets, pa.int64()), none, none, none, pa.nulls(len(hs), pa.list_(pa.int32())), pa.nulls(len(hs), pa.list_(pa.int32())))
+                chars, half = char_numbers(w), signed(w.hash) >> 32
+                found = [(lo + d, x) for d in range(hi - lo) for x in ends[lo + d]]
+                near, places = [], []
+                for d, x in found:
+                    begin, k = bounds[d - lo], bounds[d - lo] + x["unit"]
+                    if x["side"] == 0:
+                        at = np.arange(k - 1, max(begin, k - reach) - 1, -1)
+                        places.append(chars[w.start[at]] - chars[w.offsets[d - lo]])
+                    else:
+                        at = np.arange(k + window, min(bounds[d - lo + 1], k + window + reach))
+                        places.append(chars[w.end[at] if len(at) else at] - chars[w.offsets[d - lo]])
+                    near.append(half[at])
+                if found:
+                    take = lambda name: [x[name] for _, x in found]  # noqa: E731, B023
+                    yield rows(b.take(pa.array([d for d, _ in found])), 1, take("h"), pa.nulls(len(found), pa.list_(pa.int64())), take("side"), take("head"), take("chain"), lists(near, pa.int32()), lists(places, pa.int32()))
 
     return run
 
@@ -224,28 +237,6 @@ def bucket_members(banded: DataFrame, block: int, block_words: int = BLOCK_WORDS
     return banded.join(once, F.col("key") == F.col("k")).select("key", F.explode(sub).alias("sub"), "h")
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct shingle hashes of wanted lines."""
-    for b in batches:
-        wanted = b.column(2).to_pylist()
-        for lo, hi, w in word_runs(b.column(1)):
-            first, last, number = line_groups(w)
-            sums = sequence_sums(w.hash)
-            own = signed(sealed(run_hash(sums, first, last), last - first))
-            at = {(d, n): k for k, (d, n) in enumerate(zip(w.doc[first].tolist(), number.tolist()))}
-            hs, sets = [], []
-            for d in range(hi - lo):
-                for x in wanted[lo + d]:
-                    k = at.get((d, x["line_no"]))
-                    if k is not None and own[k] == x["h"]:
-                        s = np.arange(first[k], max(first[k] + 1, last[k] - SHINGLE + 1))
-                        hs.append(x["h"])
-                        sets.append(np.unique(signed(mix64(run_hash(sums, s, np.minimum(s + SHINGLE, last[k]))))))
-            if hs:
-                cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.record_batch([pa.array(hs, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets)))], names=["h", "shingles"])
-
-
 def similar_forest(ids: list[int], sets: list[frozenset], threshold: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with Jaccard similarity of at least the threshold.
 
@@ -304,48 +295,89 @@ def _forest(threshold: float):
 def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, guarantee: int = GUARANTEE, window: int = WINDOW, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Places of duplicate text: ``doc_id, kind, unit, start, end, n_words, group_doc_id, group_unit, removed``.
 
-    ``kind`` is paragraph (a line of at least ``min_words`` words, ``unit`` its number) or passage (a window of words
-    picked by winnowing, ``unit`` the number of its first word); ``start`` and ``end`` are character offsets in the
-    whole text. A passage's span is its window with the words on either side, up to ``guarantee`` - ``window`` of
-    them, that are equal around the group's first place: a run of ``guarantee`` words holds a window, so the spans
-    cover every such run that a place shares with the first of its group. A group's name is its first member's place in the order of (doc_id, unit); all members but the first
-    are to be removed. Places whose text occurs nowhere else have no row, nor have null, empty and short texts. A null
-    doc_id sorts first; repeated rows are duplicates of each other.
+    ``kind`` is paragraph (a line of at least ``min_words`` words, ``unit`` its number) or passage (a chain of windows
+    picked by winnowing, ``unit`` the number of its first window's first word); ``start`` and ``end`` are character
+    offsets in the whole text. A passage's span is its windows, all that lies between them, and the words at either end, up to
+    ``guarantee`` - ``window`` of them, that are equal around the group's first place: a run of ``guarantee`` words holds
+    a window, so the spans cover every such run that a place shares with the first of its group. A group's name is its
+    first member's place in the order of (doc_id, unit); all members but the first are to be removed. Places whose text
+    occurs nowhere else have no row, nor have null, empty and short texts. A null doc_id sorts first. Rows that share a
+    doc_id but not a text are told apart; of rows that repeat both, each has its paragraphs and one its passages. Words
+    are compared by 64 bits of their hashes, those added to an end of a passage by 32.
     """
     prepare(docs.sparkSession)
     bands, rows = tune_bands(threshold, recall)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    units = written(src.mapInArrow(_units(min_words, bands, rows, window, guarantee), f"kind byte, doc_id {id_type}, unit int, start int, end int, n_words int, h long, bands array<long>"), "passages")
-    place = F.struct("doc_id", "unit")
-    paragraphs = units.where("kind = 0")
+    units = written(src.mapInArrow(_units(min_words, bands, rows, window, guarantee), f"kind byte, doc_id {id_type}, fp long, unit int, start int, end int, n_words int, h long, bands array<long>, gap int, link long"), "passages")
+    place = F.struct("doc_id", "unit", "fp")
+    paragraphs, picked = units.where("kind = 0"), units.where("kind = 1")
     classes = written(paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands"), F.min("n_words").cast("long").alias("words")), "paragraph-classes")
 
     banded = classes.select(F.explode("bands").alias("key"), "h", "words")
-    members = written(bucket_members(banded, block, block_words), "paragraph-buckets").withColumnRenamed("h", "mh")
-    wanted = classes.join(members.select(F.col("mh").alias("h")).distinct(), "h").select("h", "first.doc_id", F.col("first.unit").alias("line_no"))
-    sets = wanted_lines(src, wanted).mapInArrow(_shingle_rows, "h long, shingles array<long>").dropDuplicates(["h"])
+    buckets = written(bucket_members(banded, block, block_words), "paragraph-buckets")
+    members = buckets.withColumnRenamed("h", "mh")
+    wanted = classes.join(members.select(F.col("mh").alias("h")).distinct(), "h").select("first.doc_id", "first.fp", F.struct(F.col("first.unit").alias("line_no"), "h").alias("line"))
+
+    chains = written(_chains(picked), "passage-chains")
+    later = chains.where("removed")
+    info = F.struct("unit", "last", "start", "end", "group_doc_id", "group_unit").alias("chain")
+    ends = later.select("*", info, F.posexplode(F.array(F.struct("unit", "h"), F.struct(F.col("last").alias("unit"), F.col("last_h").alias("h")))).alias("side", "at"))
+    follow = ends.select("doc_id", "fp", F.struct(F.col("at.unit").alias("unit"), F.col("side").cast("byte").alias("side"), F.col("at.h").alias("h"), F.lit(False).alias("head"), "chain").alias("end"))
+    heads = ends.select(F.col("group_doc_id").alias("doc_id"), F.col("group_fp").alias("fp"), (F.col("at.unit") - F.col("unit") + F.col("group_unit")).alias("unit"), F.col("side").cast("byte").alias("side"), F.col("at.h").alias("h")).dropDuplicates(["h", "side"])
+    heads = heads.select("doc_id", "fp", F.struct("unit", "side", "h", F.lit(True).alias("head"), F.lit(None).cast(follow.schema["end"].dataType["chain"].dataType).alias("chain")).alias("end"))
+    asked = wanted.withColumn("end", F.lit(None).cast(follow.schema["end"].dataType)).unionByName(follow.union(heads).withColumn("line", F.lit(None).cast(wanted.schema["line"].dataType)))
+    per_text = asked.groupBy(F.col("doc_id").alias("__tessel_doc"), F.col("fp").alias("__tessel_fp")).agg(F.collect_list("line").alias("lines"), F.collect_list("end").alias("ends"))
+    texts = src.join(per_text, src.doc_id.eqNullSafe(F.col("__tessel_doc")) & (src.fp == F.col("__tessel_fp"))).select("doc_id", "fp", "text", "lines", "ends")
+    second = written(texts.mapInArrow(_second(window, guarantee - window), _SECOND.format(id_type)), "passage-texts")
+
+    sets = second.where("kind = 0").select("h", "shingles").dropDuplicates(["h"])
     ready = members.join(sets, F.col("mh") == F.col("h")).select("key", "sub", "h", "shingles")
     links = ready.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_forest(threshold), "a long, b long")
     comp = connected_components(links)
+    discard(buckets)
 
     led = classes.join(comp, classes.h == comp.node, "left").select("h", "first", "n", F.coalesce("component", "h").alias("root"))
     groups = led.groupBy("root").agg(F.min("first").alias("group"), F.sum("n").alias("total")).where("total > 1")
     named = led.join(groups, "root").select(F.col("h").alias("ch"), "group")
-    first = units.where("kind = 1").groupBy(F.col("h").alias("ch")).agg(F.min(place).alias("group"), F.count("*").alias("n")).where("n > 1").select("ch", "group")
-
-    first = written(first, "passage-groups")
-    reach = guarantee - window
-    heads = first.select(F.col("group.doc_id").alias("doc_id"), F.col("group.unit").alias("line_no"), F.col("ch").alias("h"))
-    around = written(wanted_lines(src, heads).mapInArrow(_contexts(window, reach), "h long, before array<long>, after array<long>").dropDuplicates(["h"]), "passage-contexts")
-    later = units.where("kind = 1").select("doc_id", F.col("unit").alias("line_no"), "h").join(around.withColumnRenamed("h", "ch"), F.col("h") == F.col("ch"))
-    per_doc = later.groupBy(F.col("doc_id").alias("__tessel_doc")).agg(F.collect_set(F.struct("line_no", "h", "before", "after")).alias("wanted"))
-    near = src.join(per_doc, src.doc_id.eqNullSafe(F.col("__tessel_doc"))).select("doc_id", "text", "wanted")
-    spans = near.mapInArrow(_extended(window, reach), f"doc_id {id_type}, unit int, start int, end int, n_words int, h long")
-
-    def rows_for(kind: int, name: str, by: DataFrame) -> DataFrame:
-        places = units.where("kind = 0").drop("kind", "bands") if kind == 0 else spans
-        hit = places.join(by, F.col("h") == F.col("ch"))
-        return hit.select("doc_id", F.lit(name).alias("kind"), "unit", "start", "end", "n_words", F.col("group.doc_id").alias("group_doc_id"), F.col("group.unit").alias("group_unit"), (F.col("group") != place).alias("removed"))
-
-    return rows_for(0, "paragraph", named).union(rows_for(1, "passage", first))
+    hit = paragraphs.join(named, F.col("h") == F.col("ch"))
+    out = hit.select("doc_id", F.lit("paragraph").alias("kind"), "unit", "start", "end", "n_words", F.col("group.doc_id").alias("group_doc_id"), F.col("group.unit").alias("group_unit"), (F.col("group") != place).alias("removed"))
+
+    sides = second.where("kind = 1")
+    others = sides.where("head").dropDuplicates(["h", "side"]).select("h", "side", F.col("words").alias("other"))
+    unlike = F.expr("array_position(zip_with(words, other, (a, b) -> a <=> b), false)")
+    more = sides.where("not head").join(others, ["h", "side"]).select("doc_id", "fp", "chain", "side", "chars", F.when(unlike == 0, F.size("words")).otherwise(unlike - 1).cast("int").alias("more"))
+    more = more.select("doc_id", "fp", "chain", "side", "more", F.when(F.col("more") > 0, F.get("chars", F.col("more") - 1)).alias("at"))
+    on = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    spans = more.groupBy("doc_id", "fp", F.col("chain.unit").alias("unit")).agg(F.min("chain").alias("chain"), (on(0, "more") + on(1, "more")).alias("more"), on(0, "at").alias("left"), on(1, "at").alias("right"))
+    grown = spans.select("doc_id", F.lit("passage").alias("kind"), "unit", F.coalesce("left", "chain.start").alias("start"), F.coalesce("right", "chain.end").alias("end"), (F.col("chain.last") - F.col("unit") + window + F.col("more")).alias("n_words"), "chain.group_doc_id", "chain.group_unit", F.lit(True).alias("removed"))
+    kept = chains.where("not removed").select("doc_id", F.lit("passage").alias("kind"), "unit", "start", "end", (F.col("last") - F.col("unit") + window).alias("n_words"), "group_doc_id", "group_unit", "removed")
+    return out.union(grown).union(kept)
+
+
+def _chains(picked: DataFrame) -> DataFrame:
+    """``doc_id, fp, unit, last, start, end, h, last_h, group_doc_id, group_fp, group_unit, removed``: chains of windows
+    that occur elsewhere, by their first and last window; see the module's text."""
+    place = F.struct("doc_id", "unit", "fp", "link")
+    first = picked.groupBy(F.col("h").alias("ch")).agg(F.min(place).alias("g"), F.count("*").alias("n")).where("n > 1").select("ch", "g")
+    at = picked.join(first, F.col("h") == F.col("ch")).select("doc_id", "fp", "unit", "start", "end", "h", "gap", "link", "g")
+    order = Window.partitionBy("doc_id", "fp").orderBy("unit")
+    was = F.lag(F.struct("unit", "gap", "link", "g")).over(order)
+    at = at.withColumn("was", was)
+    follows = (
+        (F.col("unit") == F.col("was.unit") + F.col("was.gap"))
+        & (F.col("was.link") == F.col("was.g.link"))
+        & F.col("g.doc_id").eqNullSafe(F.col("was.g.doc_id"))
+        & (F.col("g.fp") == F.col("was.g.fp"))
+        & (F.col("g.unit") - F.col("unit") == F.col("was.g.unit") - F.col("was.unit"))
+    )
+    # rows that repeat an id and a text have each window again
+    new = ~F.coalesce(follows | (F.col("unit") == F.col("was.unit")), F.lit(False))
+    at = at.withColumn("no", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = at.groupBy("doc_id", "fp", "no").agg(F.min(F.struct("unit", "start", "h", "g")).alias("a"), F.max(F.struct("unit", "end", "h")).alias("z"))
+    here = F.struct("doc_id", F.col("a.unit").alias("unit"), "fp")
+    return ends.select(
+        "doc_id", "fp", "a.unit", F.col("z.unit").alias("last"), "a.start", "z.end", "a.h", F.col("z.h").alias("last_h"),
+        F.col("a.g.doc_id").alias("group_doc_id"), F.col("a.g.fp").alias("group_fp"), F.col("a.g.unit").alias("group_unit"), (here != F.struct("a.g.doc_id", "a.g.unit", "a.g.fp")).alias("removed"),
+    )
