@@ -115,10 +115,11 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
     def rows_of(kind, own, unit, start, end, n, h, keys, gap=None, link=None):
         lists = pa.nulls(len(h), pa.list_(pa.int64())) if keys is None else pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(signed(np.ascontiguousarray(keys)).ravel()))
         more = [pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.int64())] if gap is None else [pa.array(gap.astype(np.int32)), pa.array(signed(link))]
-        return pa.record_batch([pa.array(np.full(len(h), kind, np.int8)), *own.columns[:2], pa.array(unit.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(h)), lists, *more], names=names)
+        return pa.record_batch([pa.array(np.full(len(h), kind, np.int8)), *own.columns, pa.array(unit.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(h)), lists, *more], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            who = b.select(["doc_id", "fp"])
             for lo, _, w in word_runs(b.column(2)):
                 if not len(w.start):
                     continue
@@ -135,7 +136,7 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
                     k = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(begin, many)
                     keys = band_keys(mix64(run_hash(sums, k, k + SHINGLE)), begin, bands, rows)
                     d = w.doc[first]
-                    yield rows_of(0, b.take(pa.array(lo + d)), number, at(w.start[first], d), at(w.end[last - 1], d), n, sealed(run_hash(sums, first, last), n), keys)
+                    yield rows_of(0, who.take(pa.array(lo + d)), number, at(w.start[first], d), at(w.end[last - 1], d), n, sealed(run_hash(sums, first, last), n), keys)
                 bounds = w.bounds()
                 f, l = bounds[:-1], np.maximum(bounds[:-1], bounds[1:] - window + 1)
                 usable = np.arange(max(0, len(w.start) - window + 1))
@@ -146,7 +147,7 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
                     d = w.doc[k]
                     gap = np.where(np.append(d[1:] == d[:-1], False), np.append(np.diff(k), 0), 0)
                     link = sealed(run_hash(sums, k, k + gap), gap)
-                    yield rows_of(1, b.take(pa.array(lo + d)), k - bounds[d], at(w.start[k], d), at(w.end[k + window - 1], d), np.full(len(k), window), g[k], None, gap, link)
+                    yield rows_of(1, who.take(pa.array(lo + d)), k - bounds[d], at(w.start[k], d), at(w.end[k + window - 1], d), np.full(len(k), window), g[k], None, gap, link)
 
     return run
 
@@ -172,12 +173,13 @@ def _second(window: int, reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            who = b.select(["doc_id", "fp"])
             wanted, ends, chain_type = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(4).type.value_type.field("chain").type
 
             def rows(own, kind, h, shingles, side, head, chain, near, chars):
                 n = len(h)
                 return pa.record_batch(
-                    [pa.array([kind] * n, pa.int8()), pa.array(h, pa.int64()), shingles, *own.columns[:2], pa.array(side, pa.int8()), pa.array(head, pa.bool_()), pa.array(chain, chain_type), near, chars],
+                    [pa.array([kind] * n, pa.int8()), pa.array(h, pa.int64()), shingles, *own.columns, pa.array(side, pa.int8()), pa.array(head, pa.bool_()), pa.array(chain, chain_type), near, chars],
                     names=["kind", "h", "shingles", "doc_id", "fp", "side", "head", "chain", "words", "chars"],
                 )
 
@@ -196,7 +198,7 @@ def _second(window: int, reach: int):
                         of.append(lo + d)
                 if hs:
                     none = [None] * len(hs)
-                    yield rows(b.take(pa.array(of)), 0, hs, lists(sets, pa.int64()), none, none, none, pa.nulls(len(hs), pa.list_(pa.int32())), pa.nulls(len(hs), pa.list_(pa.int32())))
+                    yield rows(who.take(pa.array(of)), 0, hs, lists(sets, pa.int64()), none, none, none, pa.nulls(len(hs), pa.list_(pa.int32())), pa.nulls(len(hs), pa.list_(pa.int32())))
                 chars, half = char_numbers(w), signed(w.hash) >> 32
                 found = [(lo + d, x) for d in range(hi - lo) for x in ends[lo + d]]
                 near, places = [], []
@@ -211,7 +213,7 @@ def _second(window: int, reach: int):
                     near.append(half[at])
                 if found:
                     take = lambda name: [x[name] for _, x in found]  # noqa: E731, B023
-                    yield rows(b.take(pa.array([d for d, _ in found])), 1, take("h"), pa.nulls(len(found), pa.list_(pa.int64())), take("side"), take("head"), take("chain"), lists(near, pa.int32()), lists(places, pa.int32()))
+                    yield rows(who.take(pa.array([d for d, _ in found])), 1, take("h"), pa.nulls(len(found), pa.list_(pa.int64())), take("side"), take("head"), take("chain"), lists(near, pa.int32()), lists(places, pa.int32()))
 
     return run
 
