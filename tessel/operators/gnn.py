@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .products import Hint, as_operand, gemm, relu, spmm, vec_dot
-from .structure import mask_rows, row_degree, transpose
+from .structure import mask_rows, replayable, row_degree, transpose
 
 
 def gcn_normalise(e: DataFrame, with_values: bool = True) -> DataFrame:
@@ -52,11 +52,10 @@ def relu_table(x: DataFrame) -> DataFrame:
 
 
 def log_softmax(x: DataFrame, node: str = "j") -> DataFrame:
-    """Over the classes k of each node; two aggregates and joins, no window over all classes in one row."""
-    top = x.groupBy(node).agg(F.max("x").alias("_m"))
-    z = x.join(top, node)
-    total = z.groupBy(node).agg(F.sum(F.exp(F.col("x") - F.col("_m"))).alias("_z"))
-    return z.join(total, node).select(node, "k", (F.col("x") - F.col("_m") - F.log("_z")).alias("x"))
+    """Over the classes k of each node: a window by node, so that rows are shuffled once."""
+    w = Window.partitionBy(node)
+    z = x.withColumn("_z", F.col("x") - F.max("x").over(w))
+    return z.select(node, "k", (F.col("_z") - F.log(F.sum(F.exp("_z")).over(w))).alias("x"))
 
 
 def gcn_two_layer(norm: DataFrame, h: DataFrame, w1: DataFrame, w2: DataFrame, activation: str | None = "relu", softmax: bool = True) -> DataFrame:
@@ -65,6 +64,19 @@ def gcn_two_layer(norm: DataFrame, h: DataFrame, w1: DataFrame, w2: DataFrame, a
     return log_softmax(out) if softmax else out
 
 
+def totally_fused_gcn(norm: DataFrame, h: DataFrame, w1: DataFrame, w2: DataFrame) -> DataFrame:
+    """Two linear layers as one: ``Â (Â (H (W1 W2)))``. The weights are multiplied first, so both sparse products
+    work at the width of the result."""
+    both = w1.select(F.col("k").alias("_in"), F.col("c").alias("k"), F.col("w").alias("_w")).join(w2, "k").groupBy("_in", "c").agg(F.sum(F.col("_w") * F.col("w")).alias("w"))
+    out = spmm(norm, gemm(h, both.withColumnRenamed("_in", "k")))
+    return as_operand(spmm(norm, as_operand(out)))
+
+
+def supervised_head(embeds: DataFrame, w: DataFrame) -> DataFrame:
+    """Class scores of embeddings, with weights out by in."""
+    return gemm(embeds, w, "out_in")
+
+
 def one_hop(e: DataFrame, rows: DataFrame) -> DataFrame:
     """Neighbours of sampled rows; a row itself only if adjacent to itself."""
     return mask_rows(e, rows).select(F.col("j").alias("i")).distinct()
@@ -227,23 +239,36 @@ def split_nodes(nodes: DataFrame, train: float = 0.6, val: float = 0.2, seed: in
     return ranked.select("i", part.alias("part"))
 
 
+def _least(df: DataFrame, order: Column, keys: list[str], k: int) -> DataFrame:
+    """The k rows that come first by a hash and then the keys. Counts by hash value tell the last value that is taken
+    whole and how many rows of the next one; so only rows of one value are ordered, and none are gathered."""
+    hashed = df.withColumn("_h", order)
+    sizes = hashed.groupBy("_h").agg(F.count("*").alias("_n"))
+    upto = F.coalesce(F.sum("_n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = sizes.select("_h", "_n", upto.alias("_before")).where(F.col("_before") < k).agg(F.max(F.struct("_h", "_before")).alias("_e"))
+    near = hashed.join(F.broadcast(edge)).where(F.col("_h") <= F.col("_e._h"))
+    whole = near.where(F.col("_h") < F.col("_e._h"))
+    last = near.where(F.col("_h") == F.col("_e._h")).withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy(*keys))).where(F.col("_r") <= k - F.col("_e._before"))
+    return whole.select(df.columns).union(last.select(df.columns))
+
+
 def sample_edges(e: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Exactly k edges, first in a hashed order: a top-k, no full sort."""
-    order = F.pmod(F.col("i") * 7919 + F.col("j") * 104729 + seed, F.lit(1_000_003))
-    return e.orderBy(order, "i", "j").limit(k)
+    """Exactly k edges, first in a hashed order."""
+    return _least(e, F.pmod(F.col("i") * 7919 + F.col("j") * 104729 + seed, F.lit(1_000_003)), ["i", "j"], k)
 
 
 def sample_edges_random(e: DataFrame, k: int, n: int, seed: int = 0, unit: bool = False) -> DataFrame:
     """Product with a random matrix of about k entries; ``unit`` makes these 1 rather than random values."""
-    p = F.least(F.lit(1.0), F.lit(k / float(n * n)))
-    u = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
-    w = F.pmod(F.xxhash64("i", "j", F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003
+    p = min(1.0, k / float(n * n))
+    most = float((1 << 31) - 1)
+    u = replayable(F.col("i"), F.col("j"), seed=seed) / most
+    w = replayable(F.col("i"), F.col("j"), seed=seed + 1) / most
     return e.where(u < p).select("i", "j", (F.col("v") * (F.lit(1.0) if unit else w)).alias("v"))
 
 
 def sample_rows(nodes: DataFrame, n: int, ratio: float, seed: int = 0) -> DataFrame:
     """ceil(n ratio) rows, first in a hashed order."""
-    return nodes.select("i").orderBy(hash_order("i", seed), "i").limit(math.ceil(n * ratio))
+    return _least(nodes.select("i"), hash_order("i", seed), ["i"], math.ceil(n * ratio))
 
 
 def max_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str = "x") -> DataFrame:

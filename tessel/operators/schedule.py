@@ -7,10 +7,14 @@ needs in the same tile. ``n`` is the number of rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,29 +86,45 @@ def even_parts(n: int, parts: int) -> Column:
 def weighted_parts(weights: DataFrame, parts: int, targets: list[float] | None = None, bucket: int = 4096) -> DataFrame:
     """``id, part`` for ``weights(id, w)``; each part takes ids in order until it has its even share.
 
-    The greedy cut depends on where the part before it ended, so cuts are found one after the other, each by a
-    filter over running sums; running sums come from sums by bucket. The last ids that no part takes have part null.
+    The greedy cut depends on where the part before it ended, so cuts are found in order on the driver, from the sums of
+    buckets of ids, of which there is one for ``bucket`` ids. Of buckets in which a cut falls the running sums are looked
+    at: those where cuts would fall if every part took just its share come in one go, others as they are needed. The
+    last ids that no part takes have part null.
     """
     b = weights.select("id", "w", F.floor(F.col("id") / bucket).alias("_b"))
-    sizes = b.groupBy("_b").agg(F.sum("w").alias("_s"))
-    base = sizes.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_base"))
-    before = Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    run = b.withColumn("_in", F.coalesce(F.sum("w").over(before), F.lit(0.0))).join(base, "_b").select("id", "w", (F.col("_base") + F.col("_in")).alias("cum")).persist()
-    total = weights.agg(F.sum("w")).first()[0] or 0.0
+    sizes = sorted((r["_b"], r["s"]) for r in b.groupBy("_b").agg(F.sum("w").alias("s")).collect())
+    ends = list(accumulate(x for _, x in sizes))
+    total = ends[-1] if ends else 0.0
     share = targets or [float(-(-total // parts))] * parts
-    cuts, at = [], 0.0
+    held: dict[int, tuple[list[int], list[float]]] = {}
+
+    def look(ks: set[int]) -> None:
+        """Ids and running sums of these buckets."""
+        rows: dict[int, list] = {k: [] for k in ks}
+        index = {sizes[k][0]: k for k in ks}
+        for r in b.where(F.col("_b").isin(list(index))).select("_b", "id", "w").collect():
+            rows[index[r["_b"]]].append((r["id"], r["w"]))
+        for k, xs in rows.items():
+            ids, ws = zip(*sorted(xs))
+            base = ends[k - 1] if k else 0.0
+            held[k] = list(ids), [base + x for x in accumulate(ws)]
+
+    if ends:
+        look({min(bisect_left(ends, x), len(ends) - 1) for x in accumulate(share)})
+    lasts, at, last = [], 0.0, -(1 << 63)  # the last id of each part
     for target in share:
-        cuts.append(at)
-        nxt = run.where((F.col("cum") + F.col("w") - F.lit(at)) >= F.lit(target)).agg(F.min(F.col("cum") + F.col("w"))).first()[0]
-        if nxt is None:
-            break
-        at = nxt
-    part = F.lit(None).cast("int")
-    for k, c in enumerate(cuts):
-        part = F.when(F.col("cum") >= c, F.lit(k)).otherwise(part)
-    if len(cuts) == len(share) and share:
-        part = F.when(F.col("cum") >= at, F.lit(None).cast("int")).otherwise(part) if at > cuts[-1] else part
-    return run.select("id", part.alias("part"))
+        if target > 0:
+            k = bisect_left(ends, at + target)
+            if k == len(ends):
+                break
+            if k not in held:
+                look({k})
+            ids, sums = held[k]
+            p = min(bisect_left(sums, at + target), len(ids) - 1)
+            at, last = sums[p], ids[p]
+        lasts.append(last)
+    part = F.size(F.filter(F.array(*map(F.lit, lasts)), lambda c: c < F.col("id"))) if lasts else F.lit(0)
+    return weights.select("id", F.when(part < len(share), part).cast("int").alias("part"))
 
 
 def reuse_count(e: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -172,78 +192,118 @@ def initial_tile(width: int, out: int, cache: int, size: int = 8) -> int:
 def variable_tiles(e: DataFrame, n: int, width: int, cache: int, start: int = 4096, size: int = 8, cost: Callable = working_set) -> DataFrame:
     """``lo, hi, fused``: equal tiles of about ``start`` rows, halved while their working set exceeds the cache.
 
-    All tiles that are too large split in the same round, so rounds are at most the logarithm of ``start``; a round is
-    one join of rows to tiles and one aggregate. Rows are fused by their first and last column.
+    Which tile an index is in at first follows from arithmetic, so edges and rows carry their tiles, and a round is an
+    aggregate of each by tile; all tiles that are too large split in the same round, so rounds are at most the logarithm
+    of ``start``. A row is fused into the tile that has its first and its last column.
     """
+    from tessel.session import cut
+
+    if not n:
+        return e.sparkSession.createDataFrame([], "lo long, hi long, fused long")
     first = min(start, n)
     count, extra = n // first, n % first
-    per, bounds, at, given = -(-extra // count), [], 0, 0
-    for _ in range(count):
-        more = min(extra - given, per) if extra > given else 0
-        bounds.append((at, at + first + more))
-        at, given = at + first + more, given + more
-    spark = e.sparkSession
-    rows = e.groupBy("i").agg(F.min("j").alias("a"), F.max("j").alias("b"), F.count("*").alias("nnz")).persist()
-    edges = e.select("i", "j").persist()
-    open_, done = bounds, []
-    while open_:
-        tiles = spark.createDataFrame(open_, "lo long, hi long")
-        # tiles of a round are few and disjoint; a broadcast keeps the range join a lookup
-        inside = edges.join(F.broadcast(tiles), (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi"))).groupBy("lo", "hi").agg(F.count("*").alias("nnz"), F.countDistinct("j").alias("cols"))
-        fused = rows.join(F.broadcast(tiles), (F.col("a") >= F.col("lo")) & (F.col("b") < F.col("hi"))).groupBy("lo", "hi").agg(F.count("*").alias("fused"))
-        got = tiles.join(inside, ["lo", "hi"], "left").join(fused, ["lo", "hi"], "left").fillna(0).collect()
-        nxt = []
-        for r in got:
-            t = r["hi"] - r["lo"]
-            if cost(r["nnz"], r["cols"], width, t, r["fused"], size) > cache and t > 1:
-                mid = t // 2 + r["lo"]
-                nxt += [(r["lo"], mid), (mid, r["hi"])]
-            else:
-                done.append((r["lo"], r["hi"], r["fused"]))
-        open_ = sorted(nxt)
-    rows.unpersist()
-    edges.unpersist()
-    return spark.createDataFrame(sorted(done), "lo long, hi long, fused long")
+    per = -(-extra // count)
+    # tile k begins after k tiles of ``first`` rows and the extra rows that these took, ``per`` each while there are any
+    begin = lambda k: k * first + F.least(k * per, F.lit(extra))
+    full = extra // per if per else 0
+    border = full * (first + per)
+    odd = border + first + extra - full * per
+
+    def tiled(df: DataFrame, at: str) -> DataFrame:
+        i = F.col(at)
+        k = F.when(i < border, F.floor(i / (first + per))).when(i < odd, F.lit(full)).otherwise(full + 1 + F.floor((i - odd) / first)).cast("long")
+        return df.withColumn("_k", k).select(*df.columns, begin(F.col("_k")).alias("lo"), begin(F.col("_k") + 1).alias("hi"))
+
+    def halved(df: DataFrame, at: str, large: DataFrame) -> DataFrame:
+        low = F.col(at) < F.col("mid")
+        keep = [c for c in df.columns if c not in ("lo", "hi")]
+        return df.join(large, ["lo", "hi"]).select(*keep, F.when(low, F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(low, F.col("mid")).otherwise(F.col("hi")).alias("hi"))
+
+    open_ = e.sparkSession.range(count).select(begin(F.col("id")).alias("lo"), begin(F.col("id") + 1).alias("hi"))
+    edges = tiled(e.select("i", "j"), "i")
+    homes = tiled(e.groupBy("i").agg(F.min("j").alias("a"), F.max("j").alias("b")), "a").where("b < hi").select("a", "b", "lo", "hi")
+    done, old = None, (None, None)
+    while True:
+        stats = edges.groupBy("lo", "hi").agg(F.count("*").alias("nnz"), F.countDistinct("j").alias("cols"))
+        fused = homes.groupBy("lo", "hi").agg(F.count("*").alias("fused"))
+        got = open_.join(stats, ["lo", "hi"], "left").join(fused, ["lo", "hi"], "left").fillna(0, ["nnz", "cols", "fused"])
+        t = F.col("hi") - F.col("lo")
+        got = cut(got.select("lo", "hi", "fused", ((cost(F.col("nnz"), F.col("cols"), width, t, F.col("fused"), size) > cache) & (t > 1)).alias("large")))
+        small = got.where("not large").select("lo", "hi", "fused")
+        done = small if done is None else done.union(small)
+        large = got.where("large").select("lo", "hi", (F.floor(t / 2) + F.col("lo")).alias("mid"))
+        if large.isEmpty():
+            return done
+        open_ = large.select(F.explode(F.array(F.struct("lo", F.col("mid").alias("hi")), F.struct(F.col("mid").alias("lo"), "hi"))).alias("t")).select("t.lo", "t.hi")
+        edges = cut(halved(edges, "i", large), old[0])
+        homes = cut(halved(homes, "a", large).where("b < hi"), old[1])
+        old = (edges, homes)
+
+
+class _RowStream:
+    """For each row in order, the rows before it that last used its columns (-1 for none): read as a stream, of which
+    only the rows from the last bound on are held."""
+
+    def __init__(self, e: DataFrame, n: int):
+        last = F.coalesce(F.lag("i").over(Window.partitionBy("j").orderBy("i")), F.lit(-1))
+        self.rows = e.select("i", last.alias("last")).groupBy("i").agg(F.collect_list("last").alias("last")).orderBy("i").toLocalIterator()
+        self.n, self.held, self.base, self.next = n, [], 0, next(self.rows, None)
+
+    def block(self, lo: int, hi: int) -> list[np.ndarray]:
+        while self.base + len(self.held) < min(hi, self.n):
+            i = self.base + len(self.held)
+            here = self.next is not None and self.next["i"] == i
+            self.held.append(np.array(self.next["last"] if here else [], np.int64))
+            if here:
+                self.next = next(self.rows, None)
+        return self.held[lo - self.base : hi - self.base]
+
+    def forget(self, before: int) -> None:
+        self.held, self.base = self.held[before - self.base :], before
 
 
 def grown_tiles(e: DataFrame, n: int, width: int, out: int, cache: int, threads: int, size: int = 8, min_stride: int = 16) -> list[int]:
-    """P11b, growing: tile bounds of a GCN layer; rows are taken stride by stride while they fit the cache, the stride
-    halves when one alone does not fit and doubles after a tile of three. Greedy by nature: one pass over row degrees and
-    columns in row order on the driver, read as a stream."""
-    rows = e.groupBy("i").agg(F.collect_list("j").alias("cols")).orderBy("i").toLocalIterator()
-    nxt = next(rows, None)
-    held: dict[int, list[int]] = {}
-
-    def cols(i: int) -> list[int]:
-        nonlocal nxt
-        while nxt is not None and nxt["i"] <= i:
-            held[nxt["i"]] = nxt["cols"]
-            nxt = next(rows, None)
-        return held.get(i, [])
-
-    stride, most, at, bounds = min_stride, n / threads, 0, [0]
-    seen: set[int] = set()
-    nnz = taken = 0
-    while at < n:
-        for i in range(at, min(n, at + stride)):
-            c = cols(i)
-            nnz += len(c)
-            seen.update(c)
-            taken += 1
-        fits = working_set_gcn(nnz, len(seen), width, out, taken, size) < cache or taken <= min_stride
-        if (fits and taken < most) or (stride == 1 and taken <= 1):
-            at += stride
-            continue
-        nnz, seen = 0, set()
-        if taken <= stride:
+    """P11b, growing: tile bounds of a GCN layer.
+
+    From each bound the working set of the rows after it grows with every row, so there is a farthest row that still
+    fits: the working set below the cache (or no more than ``min_stride`` rows), and fewer rows than a thread's share.
+    A tile ends at the last whole stride that reaches no farther. A stride that is too long itself is halved, down to 1,
+    which always fits; after a tile of which the strides, the failing one included, come to three, it is doubled.
+
+    The farthest row is found by prefix sums: a column is new to a tile if the row that last used it lies before the
+    tile's bound. Where a tile ends decides where the next one begins, so the search goes in row order on the driver,
+    over a stream of rows of which a tile's worth is held.
+    """
+    rows, share = _RowStream(e, n), n / threads
+
+    def farthest(at: int) -> int:
+        """Rows from ``at`` that fit together."""
+        nnz = new = taken = 0
+        while at + taken < n:
+            block = rows.block(at + taken, min(n, at + taken + 4 * min_stride))
+            t = taken + 1 + np.arange(len(block))
+            entries = nnz + np.cumsum([len(r) for r in block])
+            fresh = new + np.cumsum([int((r < at).sum()) for r in block])
+            fits = ((working_set_gcn(entries, fresh, width, out, t, size) < cache) | (t <= min_stride)) & (t < share)
+            if not fits.all():
+                return taken + int(np.argmin(fits))
+            nnz, new, taken = int(entries[-1]), int(fresh[-1]), taken + len(block)
+        return taken
+
+    bounds, stride = [0], min_stride
+    while bounds[-1] < n:
+        at = bounds[-1]
+        far = farthest(at)
+        while stride > max(1, far) and far < n - at:
             stride = max(1, stride // 2)
-        else:
-            bounds.append(at)
-            for i in [k for k in held if k < at]:
-                del held[i]
-        if taken >= 3 * stride:
+        far = max(far, 1) if stride == 1 else far
+        if far >= n - at:
+            break
+        whole = far // stride
+        bounds.append(at + whole * stride)
+        if min(n - at, (whole + 1) * stride) >= 3 * stride:
             stride *= 2
-        taken = 0
+        rows.forget(bounds[-1])
     return [*bounds, n]
 
 
@@ -352,7 +412,7 @@ def wavefront_schedule(colours: DataFrame, n: int, tile: int, k_tiles: int = 1)
 def combined_schedule(colours: DataFrame, n: int, tile: int, least: int) -> DataFrame:
     """``kind, colour, lo, hi``: colours with at least ``least`` tiles run in parallel, tile by tile; tiles of the
     others go to a sequential region (colour -1) in which neighbours are merged into one tile."""
-    w = colours.withColumn("m", F.count("*").over(Window.partitionBy("colour")))
+    w = colours.join(F.broadcast(colours.groupBy("colour").agg(F.count("*").alias("m"))), "colour")
     end = F.least(F.lit(n), (F.col("last") + 1) * tile)
     par = w.where(F.col("m") >= least).select(F.lit("parallel").alias("kind"), "colour", F.col("tile").alias("first"), F.col("tile").alias("last"))
     seq = ranked(w.where(F.col("m") < least).select("tile"), "tile")
@@ -405,13 +465,14 @@ def level_sets(dag: DataFrame, nodes: DataFrame, max_levels: int = 10_000) -> Da
     cycle, which never settles."""
     from tessel.session import cut
 
-    level = nodes.select("i", F.lit(0).alias("level"))
+    level, old = nodes.select("i", F.lit(0).alias("level")), None
     for _ in range(max_levels):
         up = dag.join(level.select(F.col("i").alias("j"), F.col("level").alias("_l")), "j").groupBy("i").agg((F.max("_l") + 1).alias("_m"))
-        new = cut(level.join(up, "i", "left").select("i", F.greatest("level", F.coalesce("_m", F.lit(0))).alias("level")))
-        if new.join(level.withColumnRenamed("level", "_was"), "i").where("level <> _was").isEmpty():
-            return new
-        level = new
+        higher = F.greatest("level", F.coalesce("_m", F.lit(0)))
+        new = cut(level.join(up, "i", "left").select("i", higher.alias("level"), (higher > F.col("level")).alias("moved")), old)
+        if new.where("moved").isEmpty():
+            return new.select("i", "level")
+        level, old = new.select("i", "level"), new
     raise ValueError("levels do not settle: the graph has a cycle, or paths beyond max_levels")
 
 
@@ -466,35 +527,70 @@ def bfs_parts(e: DataFrame, weights: dict[int, float] | list[float], parts: int)
 
 
 def sparse_tiling(e: DataFrame, n: int, seeds: int = 4) -> list[list[list[tuple[int, int]]]]:
-    """P20: levels of groups of (loop, row): ``seeds`` rows of the first loop and the second-loop rows they reach go to the
-    first level after any that holds what they touch. Sequential: on the driver."""
-    reach: dict[int, list[int]] = {}
-    for r in e.select("i", "j").orderBy("j", "i").toLocalIterator():
-        reach.setdefault(r["j"], []).append(r["i"])
-    done, levels, where = set(), [[]], {}
+    """P20: levels of groups of (loop, row).
+
+    Rows are taken ``seeds`` at a time. A group has these rows of the second loop and, of the first, those of them and of
+    the columns that they need which no group before has made. It stands in the level after the last of the levels in
+    which what it needs was made by others, so whatever a row needs is in its own group or in a level before. Rows of
+    the second loop that need nothing are a group of the first level. The level of a group depends on all before it:
+    rows are read as a stream and the driver holds a level for each row.
+    """
+    rows = e.groupBy("i").agg(F.sort_array(F.collect_set("j")).alias("cols")).orderBy("i").toLocalIterator()
+    made = np.full(n, -1, np.int64)
+    levels: list[list[list[tuple[int, int]]]] = [[]]
+    free: list[int] = []
+    row = next(rows, None)
     for at in range(0, n, seeds):
-        group, level = [], 0
-        for v in range(at, min(n, at + seeds)):
-            group.append((0, v))
-            for u in reach.get(v, ()):
-                held = [k for k in where.get(u, ())]
-                if held:
-                    level = max(level, min(held) + 1)
-                if u not in done:
-                    done.add(u)
-                    group.append((1, u))
-        while len(levels) <= level:
-            levels.append([])
-        levels[level].append(sorted(group))
-        for loop, v in group:
-            if loop == 1:
-                where.setdefault(v, []).append(level)
-    rest = [(1, v) for v in range(n) if v not in done]
-    if rest:
-        levels[0].append(rest)
+        own = list(range(at, min(n, at + seeds)))
+        needs, second = set(own), []
+        for i in own:
+            if row is not None and row["i"] == i:
+                needs.update(row["cols"])
+                second.append(i)
+                row = next(rows, None)
+            else:
+                free.append(i)
+        k = np.array(sorted(needs))
+        level = int(made[k].max()) + 1
+        new = k[made[k] < 0]
+        made[new] = level
+        group = [(0, int(v)) for v in new] + [(1, i) for i in second]
+        if group:
+            levels += [[] for _ in range(level + 1 - len(levels))]
+            levels[level].append(group)
+    if free:
+        levels[0].append([(1, i) for i in free])
     return levels
 
 
+def tiling_schedule(spark: SparkSession, levels: list[list[list[tuple[int, int]]]]) -> DataFrame:
+    """P20 as a schedule: ``level, part, pos, loop, id``."""
+    flat = [(a, b, p, k, i) for a, level in enumerate(levels) for b, group in enumerate(level) for p, (k, i) in enumerate(group)]
+    return spark.createDataFrame(flat, "level int, part long, pos long, loop int, id long")
+
+
+def order_faults(e: DataFrame, schedule: DataFrame) -> DataFrame:
+    """``i, j``: rows i of the second loop that run before a row j of the first which they need: in the same level but
+    another part, in a level before it, or without it."""
+    made = schedule.where("loop = 0").select("level", "part", F.col("id").alias("j"))
+    used = schedule.where("loop = 1").select(F.col("level").alias("_l"), F.col("part").alias("_p"), F.col("id").alias("i"))
+    ready = (F.col("level") < F.col("_l")) | ((F.col("level") == F.col("_l")) & (F.col("part") == F.col("_p")))
+    pairs = used.join(e.select("i", "j"), "i").join(made, "j", "left")
+    return pairs.groupBy("i", "j", "_l", "_p").agg(F.bool_or(F.coalesce(ready, F.lit(False))).alias("_ok")).where("not _ok").select("i", "j")
+
+
+def product_by_schedule(e: DataFrame, x: DataFrame, schedule: DataFrame) -> DataFrame:
+    """``A (A x)`` as ``i, x``, each row made where the schedule makes it: the second loop adds up only what its own
+    part or a level before has made, so that a schedule out of order shows in the result."""
+    first = schedule.where("loop = 0").select("level", "part", F.col("id").alias("i"))
+    z = first.join(e, "i").join(x, "j").groupBy("level", "part", "i").agg(F.sum(F.col("v") * F.col("x")).alias("z"))
+    made = z.select(F.col("level").alias("_l"), F.col("part").alias("_p"), F.col("i").alias("j"), "z")
+    second = schedule.where("loop = 1").select("level", "part", F.col("id").alias("i"))
+    ready = (F.col("_l") < F.col("level")) | ((F.col("_l") == F.col("level")) & (F.col("_p") == F.col("part")))
+    used = second.join(e, "i").join(made, "j").where(ready)
+    return used.groupBy("i").agg(F.sum(F.col("v") * F.col("z")).alias("x"))
+
+
 def partition_dag(e: DataFrame, parts: DataFrame) -> DataFrame:
     """Edges between the parts of their ends."""
     a = parts.select(F.col("id").alias("i"), F.col("part").alias("src"))
@@ -505,3 +601,11 @@ def partition_dag(e: DataFrame, parts: DataFrame) -> DataFrame:
 def launch_grid(n: int, per_block: int, width: int, per_thread: int = 1) -> tuple[int, int]:
     """Blocks over rows and over columns."""
     return -(-n // per_block), -(-width // per_thread)
+
+
+def describe(schedule: DataFrame) -> DataFrame:
+    """IO19: ``level, part, iterations, loops, order``: the schedule as lines to read, an entry ``loop:id`` for each
+    iteration in its order."""
+    entry = F.concat_ws(":", "loop", "id")
+    g = schedule.groupBy("level", "part").agg(F.count("*").alias("iterations"), F.countDistinct("loop").alias("loops"), F.sort_array(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("all"))
+    return g.select("level", "part", "iterations", "loops", F.array_join("all.entry", " ").alias("order"))

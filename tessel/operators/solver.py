@@ -37,27 +37,24 @@ def jacobi_steps(e: DataFrame, b: DataFrame, steps: int) -> DataFrame:
     return x
 
 
-def jacobi_solve(e: DataFrame, b: DataFrame, eps: float = 1e-30, max_iter: int = 1000, cut_every: int = 4, fused: bool = False) -> tuple[DataFrame, int]:
+def jacobi_solve(e: DataFrame, b: DataFrame, eps: float = 1e-30, max_iter: int = 1000, fused: bool = False) -> tuple[DataFrame, int]:
     """One step from 0, then up to ``max_iter`` more until successive iterates differ by less than eps.
 
     Returns the iterate and the number of the step after which it settled (0 if it did not). ``fused`` runs two steps
     for each test, and so settles at an even count of them.
     """
     diag, off = (d.persist() for d in split_diagonal(e))
-    x = b.join(diag, "i").select("i", "c", (F.col("x") / F.col("d")).alias("x"))
+    x, old = cut(b.join(diag, "i").select("i", "c", (F.col("x") / F.col("d")).alias("x"))), None
     done, i = 0, 0
     while i < max_iter:
-        old = x
-        if fused:
-            old = jacobi_step(off, diag, b, x)
-            x = jacobi_step(off, diag, b, old)
-        else:
-            x = jacobi_step(off, diag, b, x)
+        # the iterate and the one before it are written together, so that neither is made again for the residual
+        was = jacobi_step(off, diag, b, x) if fused else x
+        now = jacobi_step(off, diag, b, was).withColumnRenamed("x", "_now")
+        both = cut(now.join(was, ["i", "c"], "left").select("i", "c", F.col("_now").alias("x"), F.coalesce("x", F.lit(0.0)).alias("was")), old)
+        x, old = both.select("i", "c", "x"), both
         i += 2 if fused else 1
-        if fused or i % cut_every == 0 or i == 1:
-            x = cut(x)
-        if residual(x, old).first()["residual"] < eps:
-            done = i + 1 if not fused else i
+        if both.agg(F.coalesce(F.max(F.abs(F.col("x") - F.col("was"))), F.lit(0.0))).first()[0] < eps:
+            done = i if fused else i + 1
             break
     diag.unpersist()
     off.unpersist()

@@ -117,27 +117,36 @@ def reorder_rows(e: DataFrame, schedule: DataFrame) -> DataFrame:
     return e.join(p, e.i == p.old).select(F.col("new").alias("i"), "j", "v", F.col("old").alias("old_i"))
 
 
-def reverse_cuthill_mckee(e: DataFrame, n: int, max_levels: int = 1_000) -> DataFrame:
+def reverse_cuthill_mckee(e: DataFrame, n: int) -> DataFrame:
     """A permutation ``old, new`` by breadth-first levels with degree ties, reversed.
 
     Each component starts at its least-degree vertex; vertices of a level are ordered by the least-placed parent, then
-    degree, then id. Levels are joins; only their counts reach the driver.
+    degree, then id. Levels are joins, each written to a folder of its own, until no component has another; only
+    whether a level is empty reaches the driver. Vertices of a level are numbered inside buckets of their parents'
+    places, and buckets by their counts, so no task orders a whole level.
     """
     spark = e.sparkSession
     sym = symmetrise(e.where("i <> j")).select("i", "j").persist()
     deg = spark.range(n).select(F.col("id").alias("i")).join(row_degree(sym.withColumn("v", F.lit(1.0))), "i", "left").select("i", F.coalesce("deg", F.lit(0)).alias("deg")).persist()
     comp = label_components(sym, n)
     seed = comp.join(deg, "i").groupBy("comp").agg(F.min(F.struct("deg", "i")).alias("s")).select(F.col("s.i").alias("i"), "comp")
-    placed = seed.select("comp", "i", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"))
-    front = placed
-    for level in range(1, max_levels + 1):
-        reached = front.join(sym, "i").select("comp", F.col("j").alias("i"), "rank").join(placed.select("i"), "i", "left_anti")
-        nxt = reached.groupBy("comp", "i").agg(F.min("rank").alias("parent")).join(deg, "i")
-        order = Window.partitionBy("comp").orderBy("parent", "deg", "i")
-        front = cut(nxt.select("comp", "i", F.lit(level).alias("level"), F.row_number().over(order).cast("long").alias("rank")))
-        if front.isEmpty():
+    front = cut(seed.select("comp", "i", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank")))
+    levels = [front]
+    while True:
+        # a neighbour of a level lies in it, in the one before or in the next
+        known = levels[-1].select("i") if len(levels) == 1 else levels[-1].select("i").union(levels[-2].select("i"))
+        reached = front.join(sym, "i").select("comp", F.col("j").alias("i"), "rank").join(known, "i", "left_anti")
+        nxt = cut(reached.groupBy("comp", "i").agg(F.min("rank").alias("parent")).join(deg, "i").withColumn("_b", F.floor(F.col("parent") / 4096)))
+        if nxt.isEmpty():
             break
-        placed = cut(placed.union(front), placed)
+        sizes = nxt.groupBy("comp", "_b").agg(F.count("*").alias("_n"))
+        base = sizes.select("comp", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("comp").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+        inside = nxt.withColumn("_r", F.row_number().over(Window.partitionBy("comp", "_b").orderBy("parent", "deg", "i")))
+        front = cut(inside.join(base, ["comp", "_b"]).select("comp", "i", F.lit(len(levels)).alias("level"), (F.col("_base") + F.col("_r")).cast("long").alias("rank")), nxt)
+        levels.append(front)
+    sym.unpersist()
+    deg.unpersist()
+    placed = spark.read.schema(front.schema).parquet(*(x._tessel_path for x in levels))
     # ranks are 1..n in a level, so counts by level place every vertex without one sort of all
     sizes = placed.groupBy("comp", "level").agg(F.count("*").alias("m"))
     before = Window.orderBy(F.desc("comp"), F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
@@ -149,15 +158,15 @@ def reverse_cuthill_mckee(e: DataFrame, n: int, max_levels: int = 1_000) -> Data
 def label_components(sym: DataFrame, n: int, max_rounds: int = 1_000) -> DataFrame:
     """``i, comp``: the least vertex reachable, by spreading minima and jumping along labels."""
     spark = sym.sparkSession
-    lab = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("comp"))
+    lab, old = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("comp")), None
     for _ in range(max_rounds):
         near = sym.join(lab.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("comp").alias("m"))
-        new = lab.join(near, "i", "left").select("i", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
+        new = lab.join(near, "i", "left").select("i", F.least("comp", F.coalesce("m", "comp")).alias("comp"), F.col("comp").alias("was"))
         jump = new.select(F.col("i").alias("comp"), F.col("comp").alias("up"))
-        new = cut(new.join(jump, "comp").select("i", F.col("up").alias("comp")))
-        if new.join(lab.withColumnRenamed("comp", "was"), "i").where("comp <> was").isEmpty():
-            return new
-        lab = new
+        new = cut(new.join(jump, "comp").select("i", F.col("up").alias("comp"), "was"), old)
+        if new.where("comp <> was").isEmpty():
+            return new.select("i", "comp")
+        lab, old = new.select("i", "comp"), new
     raise RuntimeError("components did not settle")
 
 
@@ -209,14 +218,26 @@ def banded(spark: SparkSession, n: int, width: int) -> DataFrame:
     return band.select(F.col("id").alias("i"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("j"), F.lit(1.0).alias("v"))
 
 
+def replayable(*terms: Column, seed: int) -> Column:
+    """A hash of longs below 2**31 - 1 by integer arithmetic alone, which any SQL engine can repeat: for each term a step
+    of a multiplicative generator modulo that prime and the fifth power, which is a bijection there."""
+    prime = (1 << 31) - 1
+    out = F.lit((seed * 48271 + 11) % prime).cast("long")
+    for t in terms:
+        out = ((out + t % prime + 1) * 16807) % prime
+        square = out * out % prime
+        out = square * square % prime * out % prime
+    return out
+
+
 def random_sparse(spark: SparkSession, n: int, density: float, seed: int = 0) -> DataFrame:
-    """About ``density * n * n`` unit entries at hashed places: the same for the same seed, without n*n work."""
+    """IO5: about ``density * n * n`` unit entries at hashed places: the same for the same seed, without n*n work."""
     k = max(0, round(density * n * n))
-    at = spark.range(k).select(F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(1)), F.lit(n)).alias("i"), F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(2)), F.lit(n)).alias("j"))
+    at = spark.range(k).select((replayable(F.col("id"), F.lit(1), seed=seed) % n).alias("i"), (replayable(F.col("id"), F.lit(2), seed=seed) % n).alias("j"))
     return at.distinct().withColumn("v", F.lit(1.0))
 
 
 def random_dense(spark: SparkSession, n: int, k: int, seed: int = 0) -> DataFrame:
-    """Long form ``j, k, x`` with x in (-1, 1), hashed from place and seed."""
-    x = (F.pmod(F.xxhash64(F.lit(seed), "j", "k"), F.lit(1_000_003)) / 500_001.5) - 1
+    """IO6: long form ``j, k, x`` with x in (-1, 1), hashed from place and seed."""
+    x = replayable(F.col("j"), F.col("k"), seed=seed) / float(1 << 30) - 1
     return spark.range(n).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("k")).withColumn("x", x)

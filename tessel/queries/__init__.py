@@ -34,4 +34,14 @@ def s6(expr: str, name: str = "x") -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
 
+def replayed(*terms: str, seed: int) -> str:
+    """The SQL of ``structure.replayable``."""
+    out = str((seed * 48271 + 11) % 2147483647)
+    for t in terms:
+        x = f"((({out} + ({t})::BIGINT % 2147483647 + 1) * 16807) % 2147483647)"
+        square = f"({x} * {x} % 2147483647)"
+        out = f"({square} * {square} % 2147483647 * {x} % 2147483647)"
+    return out
+
+
 from . import algebra, graphs, logs, schedules, storage  # noqa: E402, F401

@@ -75,10 +75,28 @@ def _(f):
     return S.density(f.e_hole, f.n, f.n).select("nnz", r6("density", "density"))
 
 
-@query("s10_reverse_cuthill_mckee", "SELECT n AS rows, n AS targets, 0::BIGINT AS least, n - 1 AS most FROM n")
+# levels are distances from the seed of each component; places in a level follow from those in the level before
+_RCM = """sy AS (SELECT i, j FROM e_sym WHERE i <> j), dg AS (SELECT ids.i, count(sy.j) AS deg FROM ids LEFT JOIN sy ON sy.i = ids.i GROUP BY ids.i),
+  rch AS (SELECT i AS s, i FROM ids UNION SELECT s, sy.j FROM rch JOIN sy ON sy.i = rch.i), cmp AS (SELECT s AS i, min(i) AS comp FROM rch GROUP BY s),
+  sd AS (SELECT comp, arg_min(i, (deg, i)) AS i FROM cmp JOIN dg USING (i) GROUP BY comp),
+  lvl AS (SELECT i, 0 AS level FROM sd UNION SELECT sy.j, level + 1 FROM lvl JOIN sy ON sy.i = lvl.i WHERE level < 60), dst AS (SELECT i, min(level) AS level FROM lvl GROUP BY i),
+  rk AS (SELECT comp, i, 0 AS level, 0::BIGINT AS rank FROM sd UNION ALL
+    SELECT comp, i, level, row_number() OVER (PARTITION BY comp ORDER BY parent, deg, i) FROM (
+      SELECT rk.comp, sy.j AS i, rk.level + 1 AS level, min(rk.rank) AS parent, any_value(dg.deg) AS deg
+      FROM rk JOIN sy ON sy.i = rk.i JOIN dst ON dst.i = sy.j AND dst.level = rk.level + 1 JOIN dg ON dg.i = sy.j GROUP BY rk.comp, sy.j, rk.level)),
+  rcm AS (SELECT i AS old, row_number() OVER (ORDER BY comp DESC, level DESC, rank DESC) - 1 AS new FROM rk)"""
+
+
+@query("s10_reverse_cuthill_mckee", "SELECT old, new FROM rcm", _RCM)
+def _(f):
+    return S.reverse_cuthill_mckee(f.e_hole, f.n)
+
+
+@query("s10_bandwidth_reordered", "SELECT (SELECT max(abs(i - j)) FROM e_sym) AS before, max(abs(p.new - q.new)) AS after FROM e_sym e JOIN rcm p ON p.old = e.i JOIN rcm q ON q.old = e.j", _RCM)
 def _(f):
-    p = S.reverse_cuthill_mckee(f.e_hole, f.n)
-    return p.agg(F.countDistinct("old").alias("rows"), F.countDistinct("new").alias("targets"), F.min("new").alias("least"), F.max("new").alias("most"))
+    moved = S.apply_permutation(f.e_sym, S.reverse_cuthill_mckee(f.e_hole, f.n))
+    widest = lambda e: e.agg(F.max(F.abs(F.col("i") - F.col("j"))).alias("w"))
+    return widest(f.e_sym).withColumnRenamed("w", "before").join(widest(moved).withColumnRenamed("w", "after"))
 
 
 @query("s12_apply_permutation", "SELECT n - 1 - i AS i, n - 1 - j AS j, v FROM e_w, n")
@@ -279,10 +297,25 @@ def _(f):
     return J.jacobi_steps(f.e_solve, _rhs(f), 6).select("i", "c", r6())
 
 
-@query("j2_jacobi_solve")
+# every row has a diagonal entry, so each step is one aggregate
+_SOLVE = (
+    _B
+    + """, it AS (SELECT 0 AS t, i, c, x FROM bb UNION ALL SELECT any_value(p.t) + 1, e.i, p.c, any_value(bb.x) - sum(CASE WHEN e.i <> e.j THEN e.v * p.x ELSE 0 END)
+    FROM it p JOIN e_solve e ON e.j = p.i JOIN bb ON bb.i = e.i AND bb.c = p.c WHERE p.t < 40 GROUP BY e.i, p.c),
+  rs AS (SELECT a.t, max(abs(a.x - b.x)) AS r FROM it a JOIN it b ON b.t = a.t - 1 AND b.i = a.i AND b.c = a.c GROUP BY a.t)"""
+)
+
+
+@query("j2_jacobi_solve", "SELECT i, c, round(x, 4) + 0.0 AS x FROM it WHERE t = (SELECT coalesce(min(t) FILTER (r < 1e-6), 40) FROM rs)", _SOLVE)
 def _(f):
     x, _ = J.jacobi_solve(f.e_solve, _rhs(f), eps=1e-6, max_iter=40)
-    return x.select("i", "c", F.round("x", 4).alias("x"))
+    return x.select("i", "c", (F.round("x", 4) + F.lit(0.0)).alias("x"))
+
+
+@query("j3_jacobi_two_steps", "SELECT i, c, round(x, 4) + 0.0 AS x FROM it WHERE t = (SELECT coalesce(min(t) FILTER (r < 1e-3), 40) FROM rs WHERE t % 2 = 0)", _SOLVE)
+def _(f):
+    x, _ = J.jacobi_solve(f.e_solve, _rhs(f), eps=1e-3, max_iter=40, fused=True)
+    return x.select("i", "c", (F.round("x", 4) + F.lit(0.0)).alias("x"))
 
 
 @query("j4_residual", f"SELECT {s6('max(abs(x1.x - x0.x))', 'residual')} FROM x1 JOIN x0 ON x1.i = x0.i AND x1.c = x0.c", _B + ", x0 AS (SELECT * FROM bb), " + _step(1))

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from tessel.functions import gflops_gcn
 from tessel.operators import gnn as G
 from tessel.operators import products as P
 from tessel.operators.schedule import fusion_by_tile_size
 from tessel.operators.structure import mask_rows
+from tessel.plans import adjacent_fusable
 
-from . import query, r6, s6
+from . import query, r6, replayed, s6
 from .fixtures import DIM, OUT
 
 _NORM = """deg AS (SELECT i, count(*) AS d FROM e_sym GROUP BY i),
@@ -108,6 +110,26 @@ def _(f):
     return G.cross_entropy(layer(f), f.y).select(r6("loss", "loss"))
 
 
+@query("g10_cross_entropy_masked", f"SELECT {s6('-avg(x)', 'loss')} FROM lsm JOIN y ON y.i = lsm.j AND y.y = lsm.k WHERE y.i IN (SELECT i FROM sampled)", _NORM + _SOFT)
+def _(f):
+    return G.cross_entropy(layer(f), f.y, f.sampled).select(r6("loss", "loss"))
+
+
+@query("g10_loss_gradient_masked", "SELECT j, k, round((exp(x) - (k = y)::INTEGER) / (SELECT count(*) FROM sampled), 8) + 0.0 AS x FROM lsm JOIN y ON y.i = lsm.j WHERE y.i IN (SELECT i FROM sampled)", _NORM + _SOFT)
+def _(f):
+    return G.loss_gradient(layer(f), f.y, f.sampled).select("j", "k", (F.round("x", 8) + F.lit(0.0)).alias("x"))
+
+
+@query("g9_supervised_head", f"SELECT j, k, {s6('sum(x * w)')} FROM (SELECT j, x.k AS d, x FROM x) JOIN (SELECT k AS d, c AS k, w FROM w) USING (d) GROUP BY j, k")
+def _(f):
+    return G.supervised_head(f.x, f.w.select(F.col("c").alias("k"), F.col("k").alias("c"), "w")).select("j", "k", r6())
+
+
+@query("g14_totally_fused_gcn", f"SELECT j, k, {s6('x')} FROM l2", _NORM + _TWO.format(act="x"))
+def _(f):
+    return G.totally_fused_gcn(norm(f), f.x, f.w, _w2(f)).select("j", "k", r6())
+
+
 _GRAD = "g AS (SELECT j, c AS k, sum(x * w) AS x FROM x JOIN w USING (k) GROUP BY j, c)"
 
 
@@ -126,10 +148,17 @@ def _(f):
     return G.cached_layer(P.as_operand(P.spmm(f.e_w, f.x)), f.w, "in_out").select("j", "k", r6())
 
 
-@query("g15_training_losses")
+# weights are 0 at first, so the first logits are 0 and the first gradient is known
+_TRAIN = _NORM + f""", axn AS (SELECT n.i AS j, k, sum(v * x) AS x FROM nrm n JOIN x ON n.j = x.j GROUP BY n.i, k),
+  gr1 AS (SELECT j, c, (1.0 / {OUT} - (c = y)::INTEGER) / (SELECT count(*) FROM y) AS g FROM (SELECT DISTINCT j FROM axn) JOIN y ON y.i = j, (SELECT unnest(range({OUT})) AS c)),
+  tw AS (SELECT k, c, -0.7 * sum(x * g) AS w FROM axn JOIN gr1 USING (j) GROUP BY k, c), lg AS (SELECT j, c, sum(x * w) AS x FROM axn JOIN tw USING (k) GROUP BY j, c),
+  ls AS (SELECT j, c, x - m - ln(sum(exp(x - m)) OVER (PARTITION BY j)) AS x FROM (SELECT *, max(x) OVER (PARTITION BY j) AS m FROM lg))"""
+
+
+@query("g15_training_losses", f"SELECT 0 AS epoch, {s6(f'ln({OUT})', 'loss')} UNION ALL SELECT 1, round(-avg(x), 6) FROM ls JOIN y ON y.i = j AND y.y = c", _TRAIN)
 def _(f):
     _, losses = G.train_gcn(norm(f), f.x, f.y, [[0.0] * OUT for _ in range(DIM)], epochs=2)
-    return f.spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
+    return f.spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double").select("epoch", r6("loss", "loss"))
 
 
 @query("g16_predict", "SELECT j AS i, arg_min(k, (-x, k)) AS pred FROM layer GROUP BY j", _NORM)
@@ -170,7 +199,7 @@ def _(f):
     return G.sample_edges(f.e_w, 300)
 
 
-@query("g21_sample_edges_random")
+@query("g21_sample_edges_random", f"SELECT i, j, v * ({replayed('i', 'j', seed=1)} / 2147483647.0::DOUBLE) AS v FROM e_w, n WHERE {replayed('i', 'j', seed=0)} / 2147483647.0::DOUBLE < least(1.0, (n * n // 2) / (n * n)::DOUBLE)")
 def _(f):
     return G.sample_edges_random(f.e_w, f.n * f.n // 2, f.n)
 
@@ -197,3 +226,27 @@ def _(f):
 def _(f):
     a = layer(f)
     return G.max_difference(a, G.relu_table(a), ["j", "k"]).select(r6("max_diff", "max_diff"))
+
+
+@query("g24_difference_from_given", f"SELECT {s6('max(abs(coalesce(layer.x, 0) - given.x))', 'max_diff')} FROM (SELECT i AS j, k, ((i * 3 + k) % 7 - 3)::DOUBLE / 8.0 AS x FROM ids, (SELECT unnest(range({OUT})) AS k)) given LEFT JOIN layer USING (j, k)", _NORM)
+def _(f):
+    given = f.spark.range(f.n).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(OUT - 1).cast("long"))).alias("k")).withColumn("x", ((F.col("j") * 3 + F.col("k")) % 7 - 3) / 8.0)
+    return G.max_difference(layer(f), given, ["j", "k"]).select(r6("max_diff", "max_diff"))
+
+
+@query("g17_logistic_probe")
+def _(f):
+    rows = f.xv.join(f.y.select(F.col("i").alias("j"), (F.col("y") % 2).cast("double").alias("y")), "j")
+    return G.logistic_probe(rows.where("j % 5 <> 0"), rows.where("j % 5 = 0"), max_iter=20).select("j", "y", "prediction")
+
+
+@query("c1_adjacent_loops", "SELECT k FROM (SELECT n_nationkey AS k, (n_regionkey + 1) % 5 AS out, lead(n_regionkey) OVER (ORDER BY n_nationkey) AS nxt FROM nation) WHERE out = nxt")
+def _(f):
+    loops = [(str(r["n_regionkey"]), str((r["n_regionkey"] + 1) % 5)) for r in f.table("nation").orderBy("n_nationkey").collect()]
+    return f.spark.createDataFrame([(k,) for k in adjacent_fusable(loops)], "k int")
+
+
+@query("c5_gflops", f"SELECT MatrixName, MTile, \"Implementation Name\" AS name, {s6('(2.0 * NNZ * 64 + 2.0 * 1000 * 64 * 8) / 1e9 / median', 'gflops')} FROM log JOIN med USING (MatrixName, \"Implementation Name\", bCols, MTile)")
+def _(f):
+    nnz, sec = F.col("NNZ"), F.expr("array_sort(array({}))[3]".format(", ".join(f"`Trial{k} Subregion0 Executor`" for k in range(7))))
+    return f.log.select("MatrixName", "MTile", F.col("Implementation Name").alias("name"), r6(gflops_gcn(nnz, F.lit(1000), F.lit(64), F.lit(8), sec), "gflops"))

@@ -9,7 +9,7 @@ from tessel.operators.structure import banded, csr_rows, identity, random_dense,
 from tessel.sources import benchlog, graphs
 from tessel.sources import matrix as M
 
-from . import query
+from . import query, replayed
 from .fixtures import OUT
 
 
@@ -42,12 +42,12 @@ def _(f):
     return M.read_matrix(f.spark, p)[0]
 
 
-@query("io5_random_sparse")
+@query("io5_random_sparse", f"SELECT DISTINCT {replayed('k', '1', seed=7)} % n AS i, {replayed('k', '2', seed=7)} % n AS j, 1.0::DOUBLE AS v FROM (SELECT n, unnest(range(round(0.01 * n * n)::BIGINT)) AS k FROM n)")
 def _(f):
     return random_sparse(f.spark, f.n, 0.01, 7)
 
 
-@query("io6_random_dense")
+@query("io6_random_dense", f"SELECT i AS j, k, {replayed('i', 'k', seed=7)} / 1073741824.0::DOUBLE - 1 AS x FROM ids, (SELECT unnest(range(4)) AS k)")
 def _(f):
     return random_dense(f.spark, f.n, 4, 7)
 
@@ -88,18 +88,28 @@ def _(f):
     return feats.join(nodes, "i").select("i", "y", "k", "x")
 
 
-@query("io10_pubmed", "SELECT i, y, k, x FROM (SELECT i, y FROM y), (SELECT unnest(range(3)) AS k), LATERAL (SELECT ((i * 7 + k) % 5)::DOUBLE AS x) WHERE x <> 0")
-def _(f):
+def _pubmed(f):
     p = _place(f)
     head = "NODE\npaper\ncat=1,2:label\t" + "\t".join(f"numeric:w{k}:0.0" for k in range(3))
     val = [F.when((F.col("i") * 7 + k) % 5 != 0, F.concat(F.lit(f"w{k}="), ((F.col("i") * 7 + k) % 5).cast("double").cast("string"))) for k in range(3)]
     rows = f.y.repartitionByRange(3, "i").sortWithinPartitions("i").select(F.concat_ws("\t", F.concat(F.lit("n"), "i"), F.concat(F.lit("label="), (F.col("y") + 1).cast("string")), *val).alias("value"))
     f.spark.createDataFrame([(head.split("\n", 1)[0],), (head.split("\n", 2)[2],)], "value string").coalesce(1).union(rows).write.text(p + ".nodes")
-    f.spark.createDataFrame([("DIRECTED",), ("NO_FEATURES",), ("1\tpaper:n0\t|\tpaper:n1",)], "value string").coalesce(1).write.text(p + ".cites")
-    y, x, _e = graphs.read_pubmed(f.spark, p + ".nodes", p + ".cites")
+    edges = f.e_hole.select(F.concat(F.lit("1\tpaper:n"), "i", F.lit("\t|\tpaper:n"), "j").alias("value"))
+    f.spark.createDataFrame([("DIRECTED",), ("NO_FEATURES",)], "value string").coalesce(1).union(edges).write.text(p + ".cites")
+    return graphs.read_pubmed(f.spark, p + ".nodes", p + ".cites")
+
+
+@query("io10_pubmed", "SELECT i, y, k, x FROM (SELECT i, y FROM y), (SELECT unnest(range(3)) AS k), LATERAL (SELECT ((i * 7 + k) % 5)::DOUBLE AS x) WHERE x <> 0")
+def _(f):
+    y, x, _e = _pubmed(f)
     return x.join(y, "i").select("i", "y", "k", "x")
 
 
+@query("io10_pubmed_edges", "SELECT i, j, v FROM e_sym")
+def _(f):
+    return _pubmed(f)[2]
+
+
 _ROLE = "role AS (SELECT i, CASE WHEN i % 10 < 6 THEN 'tr' WHEN i % 10 < 8 THEN 'va' ELSE 'te' END AS role FROM ids)"
 
 

@@ -31,6 +31,8 @@ def cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(sc, "_tessel_checkpoints", None) or "file://" + tempfile.mkdtemp(prefix="tessel-checkpoints-")
         sc._tessel_checkpoints = base
     path = f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}"

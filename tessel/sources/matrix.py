@@ -32,9 +32,13 @@ def _first_file(spark: SparkSession, path: str) -> str:
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, list[int]]:
-    lines = [r["value"] for r in spark.read.text(_first_file(spark, path)).limit(1000).collect()]
-    size = next(x for x in lines if x.strip() and not x.startswith("%"))
-    return (lines[0].lower() if lines[0].startswith("%%") else ""), [int(x) for x in size.split()]
+    """The banner, and the numbers of the first line that is no comment, however many comments stand before it."""
+    lines = spark.read.text(_first_file(spark, path))
+    banner = (lines.first() or [""])[0].lower()
+    size = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()
+    if size is None:
+        raise ValueError(f"{path} has no size line")
+    return (banner if banner.startswith("%%") else ""), [int(x) for x in size[0].split()]
 
 
 def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[int, int]]:

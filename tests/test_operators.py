@@ -262,3 +262,151 @@ def test_sql_functions(spark):
 
     register(spark)
     assert spark.sql("SELECT vec_dot(array(1D, 2D), array(3D, 4D)) AS d, vec_axpy(2D, array(1D), array(5D)) AS a").first() == (11.0, [7.0])
+
+
+def tiles_of(spark, builder):
+    return [(r["lo"], r["hi"]) for r in builder.orderBy("lo").collect()]
+
+
+def test_grown_tiles_equal_a_walk_row_by_row(spark):
+    """Rows are taken one stride after the other, and what they need is counted anew at each."""
+    for n, seed, cache, threads, stride in ((90, 3, 4_000, 4, 16), (200, 5, 3_000, 3, 8), (64, 7, 900, 2, 4), (50, 9, 100_000, 5, 16)):
+        e = S.random_sparse(spark, n, 0.06, seed)
+        cols = {}
+        for r in e.collect():
+            cols.setdefault(r["i"], set()).add(r["j"])
+        want, at, step = [0], 0, stride
+        while True:
+            for k in range(1, n + 1):
+                hi = min(n, at + k * step)
+                used = [cols.get(i, set()) for i in range(at, hi)]
+                size = T.working_set_gcn(sum(map(len, used)), len(set().union(*used)), 8, 4, hi - at)
+                if (step > 1 or hi - at > 1) and not ((size < cache or hi - at <= stride) and hi - at < n / threads):
+                    break
+                if hi == n:
+                    break
+            else:
+                break
+            if k * step + at >= n and ((size < cache or n - at <= stride) and n - at < n / threads or step == 1 and n - at <= 1):
+                break
+            if k == 1:
+                step = max(1, step // 2)
+                continue
+            at += (k - 1) * step
+            want.append(at)
+            if hi - want[-2] >= 3 * step:
+                step *= 2
+        assert T.grown_tiles(e, n, 8, 4, cache, threads, min_stride=stride) == [*want, n]
+
+
+def test_variable_tiles_equal_halving_one_by_one(spark):
+    n = 150
+    e = S.random_sparse(spark, n, 0.05, 11)
+    edges = [(r["i"], r["j"]) for r in e.collect()]
+    span = {}
+    for i, j in edges:
+        a, b = span.get(i, (j, j))
+        span[i] = min(a, j), max(b, j)
+
+    def halved(lo, hi):
+        inside = [(i, j) for i, j in edges if lo <= i < hi]
+        fused = sum(lo <= a and b < hi for a, b in span.values())
+        if T.working_set(len(inside), len({j for _, j in inside}), 8, hi - lo, fused) > 3_000 and hi - lo > 1:
+            mid = lo + (hi - lo) // 2
+            return halved(lo, mid) + halved(mid, hi)
+        return [(lo, hi, fused)]
+
+    want = []
+    first, count, extra = 32, n // 32, n % 32
+    per, at, given = -(-extra // count), 0, 0
+    for _ in range(count):
+        more = min(per, extra - given)
+        want += halved(at, at + first + more)
+        at, given = at + first + more, given + more
+    assert sorted(tuple(r) for r in T.variable_tiles(e, n, 8, 3_000, start=32).collect()) == want
+    plan = T.variable_tiles(e, n, 8, 3_000, start=32)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+    assert T.variable_tiles(e.limit(0), 0, 8, 3_000).count() == 0
+
+
+def schedules_of(spark, e, n):
+    yield "fixed", T.fixed_tile_schedule(e, n, 8)
+    yield "pairing", T.pairing(e, spark.range(n).select("id", F.floor(F.col("id") / 7).alias("part")), n, 3)
+    yield "replicated", T.replicated(e, T.fixed_tile_schedule(e, n, 8))
+    yield "balanced", T.balanced(e, T.fixed_tile_schedule(e, n, 8))
+    yield "tiling", T.tiling_schedule(spark, T.sparse_tiling(e, n))
+
+
+@pytest.mark.parametrize("width", [3, 9, None])
+def test_schedules_make_rows_before_they_are_used(spark, width):
+    n = 60
+    e = S.banded(spark, n, width) if width else S.random_sparse(spark, n, 0.04, 2)
+    v = spark.range(n).select(F.col("id").alias("j"), (F.col("id") % 5 + 1.0).alias("x"))
+    z = e.join(v, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("z"))
+    want = {r["i"]: r["y"] for r in e.join(z.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("z")).alias("y")).collect()}
+    for name, s in schedules_of(spark, e, n):
+        assert T.order_faults(e, s).count() == 0, name
+        assert sorted({r["id"] for r in s.where("loop = 1").collect()}) == list(range(n)), name
+        if name not in ("replicated", "balanced"):  # these make rows more than once
+            assert {r["i"]: r["x"] for r in T.product_by_schedule(e, v, s).collect()} == want, name
+    swapped = T.tiling_schedule(spark, T.sparse_tiling(e, n)[::-1])
+    assert T.order_faults(e, swapped).count() > 0
+
+
+def test_sparse_tiling_takes_what_seeds_need(spark):
+    levels = T.sparse_tiling(S.banded(spark, 12, 3), 12)
+    assert levels == [[[(0, k) for k in range(5)] + [(1, k) for k in range(4)]], [[(0, k) for k in range(5, 9)] + [(1, k) for k in range(4, 8)]], [[(0, k) for k in range(9, 12)] + [(1, k) for k in range(8, 12)]]]
+    lone = spark.createDataFrame([(0, 5, 1.0), (5, 0, 1.0)], "i long, j long, v double")
+    assert T.sparse_tiling(lone, 8) == [[[(0, 0), (0, 1), (0, 2), (0, 3), (0, 5), (1, 0)], [(1, k) for k in (1, 2, 3, 4, 6, 7)]], [[(0, 4), (0, 6), (0, 7), (1, 5)]]]
+
+
+def test_reordering_keeps_every_row_of_a_long_path(spark):
+    n = 40  # as many levels as half the rows, from the middle of no cap
+    path = S.banded(spark, n, 3)
+    perm = S.reverse_cuthill_mckee(path, n)
+    assert sorted(r["new"] for r in perm.collect()) == list(range(n))
+    assert S.apply_permutation(path, perm).count() == path.count() and S.bandwidth(S.apply_permutation(path, perm)).first()[0] <= 3
+
+
+def test_samples_take_the_first_by_hash(spark):
+    nodes = spark.range(500).withColumnRenamed("id", "i")
+    want = sorted(range(500), key=lambda i: (i * 7919 % 10_007, i))
+    for k in (0, 1, 37, 499, 500):
+        assert sorted(r["i"] for r in G._least(nodes, G.hash_order(), ["i"], k).collect()) == sorted(want[:k])
+    tied = spark.range(100).select((F.col("id") % 7).alias("i"), "id")
+    assert G._least(tied, F.col("i"), ["id"], 20).count() == 20
+    assert "TakeOrdered" not in G.sample_rows(nodes, 500, 0.2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replayable_values_spread(spark):
+    e = S.random_sparse(spark, 300, 0.02, 1)
+    assert e.count() > 1_700 and e.select("i").distinct().count() > 290
+
+
+def test_headers_after_many_comments(spark, tmp_path):
+    p = tmp_path / "long.mtx"
+    p.write_text("%%MatrixMarket matrix coordinate pattern general\n" + "% words\n" * 3_000 + "2 3 1\n2 3\n")
+    e, shape = M.read_matrix(spark, str(p))
+    assert shape == (2, 3) and [tuple(r) for r in e.collect()] == [(1, 2, 1.0)]
+    (tmp_path / "none.mtx").write_text("%%MatrixMarket matrix coordinate pattern general\n")
+    with pytest.raises(ValueError):
+        M.read_matrix(spark, str(tmp_path / "none.mtx"))
+
+
+def test_log_softmax_is_one_shuffle(spark, e):
+    plan = G.log_softmax(long_x(spark, X))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_weighted_parts_of_uneven_floats(spark):
+    rng = np.random.default_rng(0)
+    w = rng.random(300) * np.where(rng.random(300) < 0.02, 500, 1)
+    df = spark.createDataFrame([(i * 3, float(x)) for i, x in enumerate(w)], "id long, w double")
+    assert [r["part"] for r in T.weighted_parts(df, 9, bucket=40).orderBy("id").collect()] == greedy(list(w), 9)
+    assert [r["part"] for r in T.weighted_parts(df.withColumn("w", F.lit(0.0)), 3).collect()] == [None] * 300
+
+
+def test_link_prediction_by_logistic_regression(spark):
+    rows = spark.createDataFrame([(i, [float(i % 2), 1.0, i / 100], float(i % 2)) for i in range(60)], "j long, x array<double>, y double")
+    got = G.logistic_probe(rows.where("j < 40"), rows.where("j >= 40"))
+    assert got.count() == 20 and got.where("prediction <> y").count() == 0
