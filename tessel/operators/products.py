@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Hint:
-    """Physical wishes. ``salt`` > 1 spreads the rows of hub indices; ``small_right`` says that the dense operand fits
-    ``max_broadcast_rows`` rows, which is checked before it is broadcast."""
+    """Physical wishes. ``salt`` > 1 spreads the rows of hub indices; ``small_right`` asks for a broadcast of the dense
+    operand, which is made if the plan's own bound of its size is below ``max_broadcast_bytes``."""
 
     salt: int = 1
     small_right: bool = False
-    max_broadcast_rows: int = 1_000_000
+    max_broadcast_bytes: int = 64 << 20
 
 
 def _right(x: DataFrame, hint: Hint) -> DataFrame:
-    if hint.small_right and x.limit(hint.max_broadcast_rows + 1).count() <= hint.max_broadcast_rows:
+    if hint.small_right and int(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= hint.max_broadcast_bytes:
         return F.broadcast(x)
     return x
 

@@ -39,10 +39,10 @@ def row_medians(df: DataFrame) -> DataFrame:
 
 def complete_matrices(df: DataFrame, params: list[str]) -> DataFrame:
     """Relational division: matrices that have every combination of implementation and parameters."""
-    combos = df.select(*[F.col(f"`{c}`") for c in params]).distinct()
-    all_ = df.select(MATRIX).distinct().crossJoin(F.broadcast(combos))
-    missing = all_.join(df.select(MATRIX, *[F.col(f"`{c}`") for c in params]).distinct(), [MATRIX, *params], "left_anti")
-    return df.select(MATRIX).distinct().join(missing.select(MATRIX).distinct(), MATRIX, "left_anti")
+    of = [F.col(f"`{c}`") for c in params]
+    total = df.select(*of).distinct().agg(F.count("*").alias("_total"))
+    have = df.select(MATRIX, *of).distinct().groupBy(MATRIX).agg(F.count("*").alias("_have"))
+    return have.join(F.broadcast(total), F.col("_have") == F.col("_total")).select(MATRIX)
 
 
 def best(times: DataFrame, keys: list[str]) -> DataFrame:
