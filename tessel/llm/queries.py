@@ -109,7 +109,15 @@ SQL = {
         ins AS (
           SELECT v.words, c.spot AS other FROM v JOIN c ON v.cut = c.words WHERE c.n >= {lines.MIN_WORDS}
           UNION ALL SELECT c.words, v.spot FROM v JOIN c ON v.cut = c.words WHERE c.n >= {lines.MIN_WORDS}),
-        best AS (SELECT words, min(other) AS other FROM (SELECT * FROM sub UNION ALL SELECT * FROM ins) GROUP BY words),
+        cc AS (SELECT words, spot, array_to_string(words, ' ') AS s FROM c WHERE n < {lines.MIN_WORDS} AND length(array_to_string(words, ' ')) >= {lines.MIN_CHARS}),
+        cv AS (
+          SELECT words, spot, p, substring(s, 1, p - 1) || substring(s, p + 1) AS cut
+          FROM (SELECT words, spot, s, CAST(unnest(range(1, length(s) + 1)) AS BIGINT) AS p FROM cc)),
+        csub AS (SELECT words, min(spot) OVER (PARTITION BY cut, p) AS other FROM cv),
+        cins AS (
+          SELECT cv.words, cc.spot AS other FROM cv JOIN cc ON cv.cut = cc.s
+          UNION ALL SELECT cc.words, cv.spot FROM cv JOIN cc ON cv.cut = cc.s),
+        best AS (SELECT words, min(other) AS other FROM (SELECT * FROM sub UNION ALL SELECT * FROM ins UNION ALL SELECT * FROM csub UNION ALL SELECT * FROM cins) GROUP BY words),
         k AS (
           SELECT l.doc_id, l.line_no, l.n, l.spot, c.spot AS own, least(c.spot, coalesce(b.other, c.spot)) AS keeper
           FROM l JOIN c ON l.words = c.words LEFT JOIN best b ON l.words = b.words)

@@ -256,10 +256,18 @@ def brute_lines(rows):
         for k, line in enumerate((t or "").split("\n")):
             w = lines.words(line)
             if w:
-                at.append(((d is not None, d or 0, k), d, k, w))
+                at.append(((d is not None, d or 0, k), d, k, w, line))
     out = set()
-    for p, d, k, w in at:
-        near = [q for q in at if q[0] < p and (w == q[3] or min(len(w), len(q[3])) >= lines.MIN_WORDS and lines.one_edit(w, q[3]))]
+    chars = lambda x: b" ".join(x).decode()
+
+    def alike(a, b):
+        if a == b or min(len(a), len(b)) >= lines.MIN_WORDS:
+            return lines.one_edit(a, b)
+        s, t = chars(a), chars(b)
+        return max(len(a), len(b)) < lines.MIN_WORDS and min(len(s), len(t)) >= lines.MIN_CHARS and lines.one_edit(s, t)
+
+    for p, d, k, w, _ in at:
+        near = [q for q in at if q[0] < p and alike(w, q[3])]
         if near:
             first = min(near, key=lambda q: q[0])
             out.add((d, k, first[1], first[2], int(first[3] != w)))
@@ -283,6 +291,22 @@ def test_lines_equal_brute_force(spark, odd, empty):
     assert lines.duplicate_lines(empty).count() == 0
 
 
+def test_short_lines_within_one_character(spark):
+    rng = random.Random(3)
+    rows = []
+    for d in range(150):
+        base = "".join(rng.choice("ab é") for _ in range(rng.randrange(17, 26)))
+        near = list(base)
+        k = rng.randrange(len(near))
+        near[k : k + 1] = rng.choice([[], ["x"], ["x", near[k]], [near[k]]])
+        rows.append((d, base + "\n" + "".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in lines.duplicate_lines(df).select("doc_id", "line_no", "keeper_doc_id", "keeper_line_no", "edits").collect()}
+    assert got == brute_lines(rows) and sum(r[4] for r in got) > 50
+    none = lines.duplicate_lines(df, min_chars=None)
+    assert none.where(f"edits > 0 and n_words < {lines.MIN_WORDS}").count() == 0
+
+
 def test_one_edit():
     assert lines.one_edit([1, 2, 3], [1, 2, 3]) and lines.one_edit([1, 2, 3], [1, 3]) and lines.one_edit([1, 2], [1, 9, 2]) and lines.one_edit([1, 2, 3], [1, 9, 3])
     assert not lines.one_edit([1, 2, 3], [2, 1, 3]) and not lines.one_edit([1, 2, 3, 4], [1, 2]) and not lines.one_edit([1, 1, 2], [2, 1, 1])
