@@ -347,7 +347,8 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = hit.select("doc_id", F.lit("paragraph").alias("kind"), "unit", "start", "end", "n_words", F.col("group.doc_id").alias("group_doc_id"), F.col("group.unit").alias("group_unit"), (F.col("group") != place).alias("removed"))
 
     sides = second.where("kind = 1")
-    others = sides.where("head").dropDuplicates(["h", "side"]).select("h", "side", F.col("words").alias("other"))
+    # written, so that the join has a plain exchange on either side and the followers of a common passage are split
+    others = written(sides.where("head").dropDuplicates(["h", "side"]).select("h", "side", F.col("words").alias("other")), "passage-heads")
     unlike = F.expr("array_position(zip_with(words, other, (a, b) -> a <=> b), false)")
     more = sides.where("not head").join(others, ["h", "side"]).select("doc_id", "fp", "chain", "side", "chars", F.when(unlike == 0, F.size("words")).otherwise(unlike - 1).cast("int").alias("more"))
     more = more.select("doc_id", "fp", "chain", "side", "more", F.when(F.col("more") > 0, F.get("chars", F.col("more") - 1)).alias("at"))
