@@ -55,6 +55,10 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    if name != "round":
+        # Spark deletes shuffle files once the driver's collector has seen that nothing refers to them; a driver with
+        # little to do collects seldom, and the files of every step would stay on the executors' disks
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tessel_path = path
     return out
