@@ -2,7 +2,8 @@
 
 Bins have capacities of tokens, documents and attention cost (the sum of squared lengths). Items that share a length
 share all three demands, so the packing is planned on counts of lengths, which are at most as many as the sequence
-length, whatever the corpus: for each length, from the longest, the bins of one residual vector are filled together.
+length, whatever the corpus: for each length, from the longest, the bins of one residual vector are filled together,
+as one item after the other would fill them.
 Pieces then find their place from their rank among pieces of their length; ranks come from counts by file and length,
 so no text and no group of pieces is gathered anywhere.
 """
@@ -44,15 +45,25 @@ def plan(counts: dict[int, int], limits: Limits) -> tuple[list[tuple], int]:
     consecutive bins at an offset; and the number of bins. Of the bins that satisfy every constraint the rule takes the
     one with the least weighted residual norm after placement, or the greatest weighted dot product of demand and
     residual; ties go to the fuller bin. Raises ValueError for an item that no empty bin can hold.
+
+    This is what one item after the other would get: by the norm, a bin that was best for an item is better still for
+    the next of its length, as long as that fits, so bins of one residual are filled in turn; by the dot product it
+    is worse, so each bin of a residual gets one.
     """
-    cap = limits.caps().astype(float)
+    caps = limits.caps()
+    cap = caps.astype(float)
     w = np.array(limits.weights, float)
     open_: dict[tuple[int, int, int], list[list[int]]] = {}  # residual vector -> runs [first bin, bins]
     runs: list[tuple] = []
     bins = 0
+
+    def keep(residual: np.ndarray, first: int, n: int) -> None:
+        if n and residual[0] > 0 and residual[1] > 0:
+            open_.setdefault(tuple(residual.tolist()), []).append([first, n])
+
     for length in sorted(counts, reverse=True):
         need = np.array([length, 1, length * length], np.int64)
-        if np.any(need > limits.caps()):
+        if np.any(need > caps):
             raise ValueError(f"a piece of {length} tokens exceeds an empty bin")
         left, rank = counts[length], 0
         while left:
@@ -63,28 +74,25 @@ def plan(counts: dict[int, int], limits: Limits) -> tuple[list[tuple], int]:
                     value = -((fits / cap) * (need / cap) * w).sum(axis=1)
                 else:
                     value = (((fits - need) / cap) ** 2 * w).sum(axis=1)
-                best = tuple(fits[np.lexsort((fits[:, 1], fits[:, 0], np.round(value, 12)))[0]].tolist())
-                first, n = open_[best].pop()
-                if not open_[best]:
-                    del open_[best]
+                best = fits[np.lexsort((fits[:, 1], fits[:, 0], np.round(value, 12)))[0]]
+                of = open_[tuple(best.tolist())]
+                first, n = of.pop()
+                if not of:
+                    del open_[tuple(best.tolist())]
             else:
-                best = tuple(limits.caps().tolist())
-                per = int(min(limits.caps() // need))
-                first, n = bins, -(-left // per)
+                best, first, n = caps, bins, 1 if limits.rule == "dot" else -(-left // int(min(caps // need)))
                 bins += n
-            take = min(n, left)
-            if take < n:
-                open_.setdefault(best, []).append([first + take, n - take])
-            runs.append((length, rank, rank + take, first, limits.tokens - best[0]))
-            after = tuple((np.array(best) - need).tolist())
-            if after[0] > 0 and after[1] > 0:
-                same = open_.setdefault(after, [])
-                if same and same[-1][0] + same[-1][1] == first:
-                    same[-1][1] += take
-                else:
-                    same.append([first, take])
-            left -= take
-            rank += take
+            per = 1 if limits.rule == "dot" else int(min(best // need))
+            full = min(n, left // per)
+            for groups, each in ((full, per), (int(n > full and left > full * per), left - full * per)):
+                if not groups:
+                    continue
+                for k in range(each):
+                    runs.append((length, rank, rank + groups, first, int(limits.tokens - best[0]) + k * length))
+                    rank += groups
+                keep(best - each * need, first, groups)
+                left, first, n = left - groups * each, first + groups, n - groups
+            keep(best, first, n)
     return runs, bins
 
 
