@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessel.llm import decontaminate, langid, lines, ogg, rollup, runtime, simhash, text
+from tessel.llm import chat, decontaminate, langid, lines, ogg, packing, rollup, runtime, simhash, text
 
 CHANGES = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
 
@@ -206,3 +206,60 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         runtime.shared_dir(Session())
+
+
+def brute_pack(lengths, limits):
+    """Best fit item by item, from the longest: the contents of each bin."""
+    cap = limits.caps().astype(float)
+    w = np.array(limits.weights)
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        need = np.array([n, 1, n * n])
+        choice = None
+        for k, (left, _) in enumerate(bins):
+            if (left >= need).all():
+                value = -((left / cap) * (need / cap) * w).sum() if limits.rule == "dot" else (((left - need) / cap) ** 2 * w).sum()
+                key = (round(float(value), 12), int(left[0]), int(left[1]))
+                if choice is None or key < choice[0]:
+                    choice = (key, k)
+        if choice is None:
+            bins.append([limits.caps(), []])
+            choice = (None, len(bins) - 1)
+        bins[choice[1]][0] = bins[choice[1]][0] - need
+        bins[choice[1]][1].append(n)
+    return sorted(tuple(b) for _, b in bins)
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(64), packing.Limits(64, documents=3), packing.Limits(64, attention=700), packing.Limits(64, 4, 900), packing.Limits(64, 4, 900, rule="dot"), packing.Limits(64, rule="dot"), packing.Limits(64, 5, 1200, (2.0, 0.5, 1.0))])
+def test_packing_equals_best_fit_item_by_item(limits):
+    rng = random.Random(11)
+    most = min(64, int(limits.caps()[2] ** 0.5))
+    for n in (1, 7, 60, 400):
+        lengths = [rng.choice([1, 2, 3, rng.randrange(1, most + 1), most]) for _ in range(n)]
+        counts = {x: lengths.count(x) for x in lengths}
+        runs, bins = packing.plan(counts, limits)
+        content, seen = {}, {}
+        for length, lo, hi, first, offset in runs:
+            assert lo == seen.get(length, 0)
+            seen[length] = hi
+            for k in range(hi - lo):
+                content.setdefault(first + k, []).append((offset, length))
+        for places in content.values():
+            at = 0
+            for o, length in sorted(places):
+                assert o == at
+                at += length
+        assert seen == counts and len(content) == bins
+        assert sorted(tuple(x for _, x in sorted(p)) for p in content.values()) == brute_pack(lengths, limits)
+    if limits.documents or limits.attention:
+        free = packing.plan(counts, packing.Limits(64, rule=limits.rule))[1]
+        assert bins > free  # the other capacities bind
+
+
+def test_chats_without_ids_or_numbers(spark):
+    long = "x" * 2_000_000
+    rows = [(None, "0", "user", "a"), (None, "1", "bot", "b"), (None, "1", "bot", "b"), (7, "first", "user", "q"), (7, "2", "bot", "r"), (8, "0", "user", long), (8, "1", "bot", "z"), (9, "0", "user", "a"), (9, None, "sys", "s")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "conv_id long, turn string, role string, text string, c int, conv string")
+    got = sorted(((r["conv_id"], r["n_turns"], r["n_copies"], r["chat"]) for r in chat.render_chats(df).collect()), key=str)
+    one = lambda role, t: f"{chat.OPEN}{role}\n{t}{chat.CLOSE}\n"
+    assert got == sorted([(None, 1, 1, one("user", "a")), (None, 1, 1, one("bot", "b")), (7, 2, 1, one("user", "q") + one("bot", "r")), (8, 2, 1, one("user", long) + one("bot", "z")), (9, 2, 1, one("sys", "s") + one("user", "a"))], key=str)
