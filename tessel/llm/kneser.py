@@ -1,14 +1,17 @@
-"""Interpolated modified Kneser-Ney bigram model over sorted hash arrays (operator 2).
-
-Counting runs in Spark over all training texts: tasks count their own words and word pairs, send sorted packed arrays
-to shards by hash, and shards merge them. The model is a folder of sorted hash arrays with counts beside them, which
-scoring workers map into memory. A shard holds the words of a range of hashes; pairs lie in the shard of their first
-word, so that its statistics are whole there, but pairs of very frequent first words are spread by the pair's own hash
-and their statistics summed afterwards.
-
-P(w | u) = max(c(uw) - D(c(uw)), 0) / c(u.) + gamma(u) P(w), with discounts D1, D2, D3+ from counts of counts, and
-P(w) likewise from the number of different words before w, interpolated with 1 / (V + 1) for each word and one unknown.
-The first token of a text, and one after a word that was never a context, have P(w).
+"""Interpolated modified Kneser-Ney n-gram model over sorted hash arrays (operator 2).
+
+Counting runs in Spark over all training texts: tasks count their own words, and pairs of a context and the word after
+it, send sorted packed arrays to shards by hash, and shards merge them. The model is a folder of sorted hash arrays with
+counts beside them, which scoring workers map into memory. A shard holds the words of a range of hashes; pairs lie in the
+shard of their context, so that its statistics are whole there, but pairs of very frequent words are spread by the
+pair's own hash and their statistics summed afterwards.
+
+With ``order`` n a context is the n - 1 tokens before, filled up by a start mark at the beginning of a text. On every
+level P(w | u) = max(c(uw) - D(c(uw)), 0) / c(u.) + gamma(u) P(w | u without its first token), with discounts D1, D2, D3+
+from the level's counts of counts. The highest level has the counts themselves; on a lower one c(uw) is the number of
+different tokens before uw, which the merge of the level above sends on. The lowest, P(w), is interpolated with
+1 / (V + 1) for each word and one unknown. The first token of a text has P(w); a context that never was has the level
+below.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import SharedFiles, prepare, written
+from .runtime import SharedFiles, discard, prepare, written
 from .text import Words, mix64, word_runs
 
 #: The token after a text's last word.
 END = np.uint64(0x5851F42D4C957F2D)
+#: What fills up contexts at the beginning of a text.
+START = np.uint64(0x2127599BF4325C37)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+_CONTEXT = np.uint64(0x9FB21C651E98DF25)
 #: Tokens that a counting task holds before it sends.
 FLUSH = 4_000_000
 #: Second words of pairs are kept to so many bits, the top ones of the hash.
@@ -73,6 +79,17 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix64(first * _PAIR + (second >> SHORT))
 
 
+def contexts(t: np.ndarray, ends: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the contexts of the tokens at ``at`` (none the first of its text), for the levels 2 to ``order``."""
+    starts = np.concatenate(([0], ends[:-1]))
+    begin = starts[np.searchsorted(ends, at, side="right")]
+    out = [t[at - 1]]
+    for back in range(2, order):
+        k = at - back
+        out.append(mix64(out[-1] * _CONTEXT + np.where(k >= begin, t[np.maximum(k, 0)], START)))
+    return out
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ascending keys, their summed counts, and where each occurs first."""
     if not len(keys):
@@ -137,33 +154,41 @@ def _merge_words(files: SharedFiles, top: int):
     return run
 
 
-def _count_pairs(bits: int, hot: np.ndarray):
+def _blobs(chain: list[np.ndarray], v: np.ndarray, n: np.ndarray, bits: int, hot: np.ndarray) -> list[tuple[int, bytes]]:
+    """Distinct pairs by shard of their context: contexts, those of the levels below for each, how many pairs each has,
+    second words (shortened) and counts. ``chain`` has the pairs' contexts, the level's own first."""
+    u = chain[0]
+    shard = np.where(np.isin(u, hot), _shard(mix64(u * _PAIR + v), bits), _shard(u, bits))
+    order = np.lexsort((u, shard))
+    chain, v, n, shard = [c[order] for c in chain], v[order], n[order], shard[order]
+    cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
+    out = []
+    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if b > a:
+            u = chain[0][a:b]
+            first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+            runs = np.diff(np.concatenate((first, [b - a]))).astype(np.uint32)
+            out.append((s, pack(*(c[a:b][first] for c in chain), runs, v[a:b], n[a:b].astype(np.uint32))))
+    return out
+
+
+def _count_pairs(bits: int, hot: np.ndarray, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def send():
-            u, v = (np.concatenate(x) for x in zip(*held))
-            g, n, at = summed(pair_hash(u, v), np.ones(size, np.int64))
-            u, v = u[at], v[at] >> SHORT
-            shard = np.where(np.isin(u, hot), _shard(g, bits), _shard(u, bits))
-            order = np.lexsort((u, shard))
-            u, v, n, shard = u[order], v[order], n[order], shard[order]
-            cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            blobs = []
-            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if b > a:
-                    first = np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
-                    runs = np.diff(np.concatenate((first, [b - a]))).astype(np.uint32)
-                    blobs.append((s, pack(u[a:b][first], runs, v[a:b], n[a:b].astype(np.uint32))))
+            *chain, v = (np.concatenate(x) for x in zip(*held))
+            _, n, at = summed(pair_hash(chain[0], v), np.ones(size, np.int64))
+            blobs = _blobs([c[at] for c in chain], v[at] >> SHORT, n, bits, hot)
             return pa.record_batch([pa.array([s for s, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=["shard", "blob"])
 
         for b in batches:
             for _, _, w in word_runs(b.column(0)):
                 t, ends = tokens(w)
                 inner = np.ones(len(t), bool)
-                inner[ends - 1] = False
+                inner[np.concatenate(([0], ends[:-1]))] = False
                 at = np.flatnonzero(inner)
-                held.append((t[at], t[at + 1]))
+                held.append((*contexts(t, ends, at, order)[::-1], t[at]))
                 size += len(at)
                 if size >= FLUSH:
                     yield send()
@@ -178,32 +203,38 @@ def _tally(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _merge_pairs(files: SharedFiles, bits: int, hot: np.ndarray):
-    """Pairs of a shard: their file, statistics of first words, and for second words how many different ones precede."""
+def _merge_pairs(files: SharedFiles, bits: int, hot: np.ndarray, below: np.ndarray, level: int):
+    """Pairs of a shard: their file, statistics of contexts, and what the level below counts: of its pairs, or on level 2
+    of words, how many different ones stand before. ``hot`` are the contexts of the level that are spread, ``below`` those
+    of the level below."""
     names = ["kind", "shard", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _by_shard(batches):
-            u = np.concatenate([np.repeat(p[0], p[1].astype(np.int64)) for p in parts])
-            v = np.concatenate([p[2] for p in parts])
-            g, n, at = summed(mix64(u * _PAIR + v), np.concatenate([p[3] for p in parts]).astype(np.int64))
-            u, v = u[at], v[at]
+            chain = [np.concatenate([np.repeat(p[c], p[-3].astype(np.int64)) for p in parts]) for c in range(level - 1)]
+            v = np.concatenate([p[-2] for p in parts])
+            g, n, at = summed(mix64(chain[0] * _PAIR + v), np.concatenate([p[-1] for p in parts]).astype(np.int64))
+            chain, v = [c[at] for c in chain], v[at]
             big = np.flatnonzero(n >= CAP)
-            files.write(f"pair-{shard}", g.tobytes())
-            files.write(f"pairs-{shard}", np.minimum(n, CAP).astype(np.uint8).tobytes())
-            files.write(f"big-{shard}", np.concatenate((g[big].view(np.int64), n[big])).tobytes())
-            order = np.argsort(u, kind="stable")
-            us, ns = u[order], n[order]
+            files.write(f"pair{level}-{shard}", g.tobytes())
+            files.write(f"pairs{level}-{shard}", np.minimum(n, CAP).astype(np.uint8).tobytes())
+            files.write(f"big{level}-{shard}", np.concatenate((g[big].view(np.int64), n[big])).tobytes())
+            order = np.argsort(chain[0], kind="stable")
+            us, ns = chain[0][order], n[order]
             first = np.flatnonzero(np.concatenate(([True], us[1:] != us[:-1])))
             stats = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (ns, ns == 1, ns == 2, ns >= 3)])
             ctx = us[first]
             spread = np.isin(ctx, hot)
-            files.write(f"ctx-{shard}", ctx[~spread].tobytes())
-            files.write(f"stats-{shard}", np.ascontiguousarray(stats[:, ~spread].T.astype(np.uint32)).tobytes())
+            files.write(f"ctx{level}-{shard}", ctx[~spread].tobytes())
+            files.write(f"stats{level}-{shard}", np.ascontiguousarray(stats[:, ~spread].T.astype(np.uint32)).tobytes())
             rows = [(0, shard, json.dumps(_tally(n) + [len(n)]).encode()), (1, shard, pack(ctx[spread], *(s.astype(np.int64) for s in stats[:, spread])))]
-            w, c, _ = summed(v, np.ones(len(v), np.int64))
-            cuts = np.searchsorted(_shard(w << SHORT, bits), np.arange((1 << bits) + 1))
-            rows += [(2, s, pack(w[a:b], c[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            if level > 2:
+                _, c, at = summed(mix64(chain[1] * _PAIR + v), np.ones(len(v), np.int64))
+                rows += [(2, s, x) for s, x in _blobs([x[at] for x in chain[1:]], v[at], c, bits, below)]
+            else:
+                w, c, _ = summed(v, np.ones(len(v), np.int64))
+                cuts = np.searchsorted(_shard(w << SHORT, bits), np.arange((1 << bits) + 1))
+                rows += [(2, s, pack(w[a:b], c[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int8(), pa.int32(), pa.binary()))], names=names)
 
     return run
@@ -235,23 +266,28 @@ class Model:
     """Where the arrays are, and the few numbers beside them."""
 
     files: SharedFiles
+    order: int
     bits: int
     n_tokens: int
     n_types: int
-    pair_discounts: list[float]
+    #: By level, from 2.
+    pair_discounts: list[list[float]]
     word_discounts: list[float]
     #: Words with 1, 2 and 3 or more different words before them.
     words_before: list[int]
     pair_types: int
-    #: Very frequent first words: total count, and pair types seen once, twice, more often.
+    #: Very frequent words as contexts of level 2: total count, and pair types seen once, twice, more often.
     hot: dict[int, list[int]]
 
 
-def fit(texts: DataFrame, text_col: str = "text") -> Model:
+def fit(texts: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     """Count all rows of ``texts`` and write the model's arrays to the shared folder.
 
-    Null texts are empty: an end token only. No rows give a model in which every token has probability 1 / (V + 1) = 1.
+    ``order`` is the length of the n-grams, 2 or more. Null texts are empty: an end token only. No rows give a model in
+    which every token has probability 1 / (V + 1) = 1.
     """
+    if order < 2:
+        raise ValueError("order is 2 or more")
     spark = texts.sparkSession
     prepare(spark)
     src = texts.select(F.col(text_col).cast("string").alias("text"))
@@ -264,19 +300,28 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
     n_tokens, n_types = sum(r["tokens"] for r in words), sum(r["types"] for r in words)
     limit = n_tokens / (4 << bits)
     hot = np.array(sorted(k for r in words for k, n in zip(r["top"], r["top_n"]) if n > limit), np.int64).view(np.uint64)
-    merged = written(sort(src.mapInArrow(_count_pairs(bits, hot), sharded)).mapInArrow(_merge_pairs(files, bits, hot), "kind byte, shard int, blob binary"), "kneser-pairs", "none")
-    tally = np.zeros(5, np.int64)
+    counted, above, found, pair_types = src.mapInArrow(_count_pairs(bits, hot if order == 2 else hot[:0], order), sharded), None, [], 0
     stats: dict[int, np.ndarray] = {}
-    for r in merged.where("kind < 2").toLocalIterator():
-        if r["kind"] == 0:
-            tally += np.array(json.loads(bytes(r["blob"])), np.int64)
-        else:
-            ctx, *s = unpack(bytes(r["blob"]))
-            for k, row in zip(ctx.tolist(), np.array(s).T if len(ctx) else []):
-                stats[k] = stats.get(k, 0) + row
-    before = sort(merged.where("kind = 2").select("shard", "blob")).mapInArrow(_merge_before(files), "tally binary").collect()
+    for level in range(order, 1, -1):
+        merged = written(sort(counted).mapInArrow(_merge_pairs(files, bits, hot if level == 2 else hot[:0], hot if level == 3 else hot[:0], level), "kind byte, shard int, blob binary"), "kneser-pairs", "none")
+        if above is not None:
+            discard(above)
+        above = merged
+        tally = np.zeros(5, np.int64)
+        for r in merged.where("kind < 2").toLocalIterator():
+            if r["kind"] == 0:
+                tally += np.array(json.loads(bytes(r["blob"])), np.int64)
+            elif level == 2:
+                ctx, *s = unpack(bytes(r["blob"]))
+                for k, row in zip(ctx.tolist(), np.array(s).T if len(ctx) else []):
+                    stats[k] = stats.get(k, 0) + row
+        found.insert(0, discounts(tally[:4].tolist()))
+        pair_types = int(tally[4])
+        counted = merged.where("kind = 2").select("shard", "blob")
+    before = sort(counted).mapInArrow(_merge_before(files), "tally binary").collect()
+    discard(above)
     words_tally = np.sum([json.loads(bytes(r["tally"])) for r in before], axis=0, dtype=np.int64) if before else np.zeros(5, np.int64)
-    return Model(files, bits, n_tokens, n_types, discounts(tally[:4].tolist()), discounts(words_tally[:4].tolist()), words_tally[[0, 1, 4]].tolist(), int(tally[4]), {k: v.tolist() for k, v in stats.items()})
+    return Model(files, order, bits, n_tokens, n_types, found, discounts(words_tally[:4].tolist()), words_tally[[0, 1, 4]].tolist(), pair_types, {k: v.tolist() for k, v in stats.items()})
 
 
 class Scorer:
@@ -305,9 +350,9 @@ class Scorer:
         k[k == len(a)] = 0
         return k, a[k] == q
 
-    def words(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Count, words before, and statistics as a context, of ascending distinct words."""
-        c, before, stats = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.zeros((len(q), 4), np.int64)
+    def words(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count, and words before, of ascending distinct words."""
+        c, before = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         cuts = np.searchsorted(_shard(q, self.m.bits), np.arange((1 << self.m.bits) + 1))
         for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if b == a:
@@ -318,22 +363,31 @@ class Scorer:
                 have = self.arr("before", s, np.int64)
                 if len(have):
                     before[a:b][ok] = have[k[ok]]
-            k, ok = self.find("ctx", s, q[a:b])
-            if ok.any():
-                stats[a:b][ok] = self.arr("stats", s, np.uint32).reshape(-1, 4)[k[ok]]
-        if self.m.hot:
+        return c, before
+
+    def contexts(self, u: np.ndarray, level: int) -> np.ndarray:
+        """Statistics of contexts of a level; those that never were have a total of 0."""
+        q, of = np.unique(u, return_inverse=True)
+        stats = np.zeros((len(q), 4), np.int64)
+        cuts = np.searchsorted(_shard(q, self.m.bits), np.arange((1 << self.m.bits) + 1))
+        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if b > a:
+                k, ok = self.find(f"ctx{level}", s, q[a:b])
+                if ok.any():
+                    stats[a:b][ok] = self.arr(f"stats{level}", s, np.uint32).reshape(-1, 4)[k[ok]]
+        if level == 2 and self.m.hot:
             hot = np.array(sorted(self.m.hot), np.uint64)
             k = np.searchsorted(q, hot)
             for i, h in zip(k.tolist(), hot.tolist()):
                 if i < len(q) and q[i] == h:
                     stats[i] = self.m.hot[h]
-        return c, before, stats
+        return stats[of]
 
-    def pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Counts of pairs."""
+    def pairs(self, u: np.ndarray, v: np.ndarray, level: int) -> np.ndarray:
+        """Counts of pairs of a context and a word."""
         out = np.zeros(len(u), np.int64)
         g = pair_hash(u, v)
-        hot = np.array(sorted(self.m.hot), np.uint64)
+        hot = np.array(sorted(self.m.hot) if level == 2 else [], np.uint64)
         shard = np.where(np.isin(u, hot), _shard(g, self.m.bits), _shard(u, self.m.bits))
         order = np.lexsort((g, shard))
         cuts = np.searchsorted(shard[order], np.arange((1 << self.m.bits) + 1))
@@ -341,11 +395,11 @@ class Scorer:
             if b == a:
                 continue
             at = order[a:b]
-            k, ok = self.find("pair", s, g[at])
-            n = np.where(ok, self.arr("pairs", s, np.uint8)[k] if ok.any() else 0, 0).astype(np.int64)
+            k, ok = self.find(f"pair{level}", s, g[at])
+            n = np.where(ok, self.arr(f"pairs{level}", s, np.uint8)[k] if ok.any() else 0, 0).astype(np.int64)
             big = np.flatnonzero(n == CAP)
             if len(big):
-                table = self.arr("big", s, np.int64).reshape(2, -1)
+                table = self.arr(f"big{level}", s, np.int64).reshape(2, -1)
                 n[big] = table[1][np.searchsorted(table[0].view(np.uint64), g[at][big])]
             out[at] = n
         return out
@@ -355,22 +409,22 @@ class Scorer:
         m = self.m
         t, ends = tokens(w)
         q, of = np.unique(t, return_inverse=True)
-        c, before, stats = self.words(q)
+        c, before = self.words(q)
         d = np.array([0.0, *m.word_discounts])
-        low = np.maximum(before - d[np.minimum(before, 3)], 0) / max(1, m.pair_types) + self.rest
-        p = low[of]
+        p = (np.maximum(before - d[np.minimum(before, 3)], 0) / max(1, m.pair_types) + self.rest)[of]
         starts = np.concatenate(([0], ends[:-1]))
         inner = np.ones(len(t), bool)
         inner[starts[ends > starts]] = False
-        at = np.flatnonzero(inner)
-        ctx = stats[of[at - 1]]
-        known = ctx[:, 0] > 0
-        at, ctx = at[known], ctx[known]
-        if len(at):
-            n = self.pairs(t[at - 1], t[at])
-            d = np.array([0.0, *m.pair_discounts])
-            total = ctx[:, 0]
-            p[at] = np.maximum(n - d[np.minimum(n, 3)], 0) / total + (ctx[:, 1:] @ d[1:]) / total * low[of[at]]
+        inside = np.flatnonzero(inner)
+        for level, u in enumerate(contexts(t, ends, inside, m.order) if len(inside) else [], 2):
+            ctx = self.contexts(u, level)
+            known = ctx[:, 0] > 0
+            at, u, ctx = inside[known], u[known], ctx[known]
+            if len(at):
+                n = self.pairs(u, t[at], level)
+                d = np.array([0.0, *m.pair_discounts[level - 2]])
+                total = ctx[:, 0]
+                p[at] = np.maximum(n - d[np.minimum(n, 3)], 0) / total + (ctx[:, 1:] @ d[1:]) / total * p[at]
         base = np.log10((c + 1) / (m.n_tokens + m.n_types + 1))[of]
         return ends - starts, *(np.add.reduceat(x, starts) for x in ((c > 0)[of].astype(np.int64), base, np.log10(p)))
 
