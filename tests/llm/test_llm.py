@@ -182,42 +182,57 @@ def test_passages_of_odd_rows(odd, empty):
 # 2
 
 
-def brute_scores(train, score):
+def brute_scores(train, score, order=2):
     tok = lambda t: [*(t or "").encode().lower().split(), None]
-    c, pairs = Counter(), Counter()
+    before_of = lambda t, k, n: tuple(t[j] if j >= 0 else "start" for j in range(k - n, k))
+    c, level = Counter(), {order: Counter()}
     for t in map(tok, train):
         c.update(t)
-        pairs.update(zip(t, t[1:]))
+        level[order].update((before_of(t, k, order - 1), t[k]) for k in range(1, len(t)))
+    for k in range(order - 1, 1, -1):
+        level[k] = Counter((ctx[1:], w) for ctx, w in level[k + 1])
     n, v = sum(c.values()), len(c)
-    ctx, before = Counter(), Counter(b for _, b in pairs)
-    for (a, _), k in pairs.items():
-        ctx[a] += k
+    before, pairs = Counter(w for _, w in level[2]), len(level[2])
 
     def disc(counts):
         m = [sum(x == k for x in counts.values()) for k in (1, 2, 3, 4)]
         y = m[0] / (m[0] + 2 * m[1]) if m[0] + m[1] else 0.0
         return [0.0] + [min(max(k - (k + 1) * y * m[k] / m[k - 1] if m[k - 1] else y, 0.0), k) for k in (1, 2, 3)]
 
-    d2, d1 = disc(pairs), disc(before)
-    left = sum(d1[min(x, 3)] for x in before.values()) / len(pairs) if pairs else 1.0
-    mass = defaultdict(float)
-    for (a, _), k in pairs.items():
-        mass[a] += d2[min(k, 3)]
-    low = lambda w: max(before[w] - d1[min(before[w], 3)], 0) / max(1, len(pairs)) + left / (v + 1)
+    d1, d = disc(before), {k: disc(x) for k, x in level.items()}
+    total, mass = defaultdict(int), defaultdict(float)
+    for k, x in level.items():
+        for (ctx, _), m in x.items():
+            total[k, ctx] += m
+            mass[k, ctx] += d[k][min(m, 3)]
+    left = sum(d1[min(x, 3)] for x in before.values()) / pairs if pairs else 1.0
+    low = lambda w: max(before[w] - d1[min(before[w], 3)], 0) / max(1, pairs) + left / (v + 1)
     out = []
     for t in map(tok, score):
         s = b = 0.0
-        for k, w in enumerate(t):
+        for i, w in enumerate(t):
             p = low(w)
-            if k and ctx[t[k - 1]]:
-                u = t[k - 1]
-                p = max(pairs[u, w] - d2[min(pairs[u, w], 3)], 0) / ctx[u] + mass[u] / ctx[u] * p
+            for k in range(2, order + 1) if i else ():
+                ctx = before_of(t, i, k - 1)
+                if total[k, ctx]:
+                    m = level[k][ctx, w]
+                    p = max(m - d[k][min(m, 3)], 0) / total[k, ctx] + mass[k, ctx] / total[k, ctx] * p
             s += math.log10(p)
             b += math.log10((c[w] + 1) / (n + v + 1))
         out.append((len(t), sum(c[w] > 0 for w in t), n, b, s))
     return out
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_model_of_higher_order(spark, texts, docs, monkeypatch, order):
+    monkeypatch.setattr(kneser, "FLUSH", 7_000)
+    train = {d: t for d, t in texts.items() if d % 7 != 2}
+    got = {r["doc_id"]: r for r in kneser.score(docs, kneser.fit(docs.where("doc_id % 7 <> 2"), order=order)).collect()}
+    for d, (n, known, total, base, score) in zip(texts, brute_scores(train.values(), texts.values(), order)):
+        assert (got[d]["n_tokens"], got[d]["n_known"], got[d]["train_tokens"]) == (n, known, total)
+        assert math.isclose(got[d]["base_score"], base, rel_tol=1e-9) and math.isclose(got[d]["score"], score, rel_tol=1e-9)
+
+
 def test_model_equals_brute_force(spark, texts, docs, monkeypatch):
     monkeypatch.setattr(kneser, "FLUSH", 7_000)
     got = {r["doc_id"]: r for r in queries.op2_lm_scoring(spark, SMALL).collect()}
@@ -233,10 +248,13 @@ def test_model_equals_brute_force(spark, texts, docs, monkeypatch):
 
 def test_model_of_odd_rows(odd, empty):
     rows = odd_rows()
-    m = kneser.fit(odd)
-    got = sorted((r["doc_id"] or 0, r["n_tokens"], round(r["score"], 6)) for r in kneser.score(odd, m).collect())
-    want = brute_scores([r[1] for r in rows], [r[1] for r in rows])
-    assert got == sorted((r[0] or 0, w[0], round(w[4], 6)) for r, w in zip(rows, want))
+    for order in (2, 3):
+        m = kneser.fit(odd, order=order)
+        got = sorted((r["doc_id"] or 0, r["n_tokens"], round(r["score"], 6)) for r in kneser.score(odd, m).collect())
+        want = brute_scores([r[1] for r in rows], [r[1] for r in rows], order)
+        assert got == sorted((r[0] or 0, w[0], round(w[4], 6)) for r, w in zip(rows, want))
+    with pytest.raises(ValueError):
+        kneser.fit(odd, order=1)
     none = kneser.fit(empty)
     assert kneser.score(empty, m).count() == 0 and {round(r["score"], 9) for r in kneser.score(odd, none).collect()} == {0.0}
 
