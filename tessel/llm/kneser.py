@@ -81,9 +81,9 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def contexts(t: np.ndarray, ends: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
     """Hashes of the contexts of the tokens at ``at`` (none the first of its text), for the levels 2 to ``order``."""
-    starts = np.concatenate(([0], ends[:-1]))
-    begin = starts[np.searchsorted(ends, at, side="right")]
     out = [t[at - 1]]
+    if order > 2:
+        begin = np.concatenate(([0], ends[:-1]))[np.searchsorted(ends, at, side="right")]
     for back in range(2, order):
         k = at - back
         out.append(mix64(out[-1] * _CONTEXT + np.where(k >= begin, t[np.maximum(k, 0)], START)))
@@ -365,9 +365,8 @@ class Scorer:
                     before[a:b][ok] = have[k[ok]]
         return c, before
 
-    def contexts(self, u: np.ndarray, level: int) -> np.ndarray:
-        """Statistics of contexts of a level; those that never were have a total of 0."""
-        q, of = np.unique(u, return_inverse=True)
+    def contexts(self, q: np.ndarray, level: int) -> np.ndarray:
+        """Statistics of ascending distinct contexts of a level; those that never were have a total of 0."""
         stats = np.zeros((len(q), 4), np.int64)
         cuts = np.searchsorted(_shard(q, self.m.bits), np.arange((1 << self.m.bits) + 1))
         for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -381,7 +380,7 @@ class Scorer:
             for i, h in zip(k.tolist(), hot.tolist()):
                 if i < len(q) and q[i] == h:
                     stats[i] = self.m.hot[h]
-        return stats[of]
+        return stats
 
     def pairs(self, u: np.ndarray, v: np.ndarray, level: int) -> np.ndarray:
         """Counts of pairs of a context and a word."""
@@ -417,7 +416,8 @@ class Scorer:
         inner[starts[ends > starts]] = False
         inside = np.flatnonzero(inner)
         for level, u in enumerate(contexts(t, ends, inside, m.order) if len(inside) else [], 2):
-            ctx = self.contexts(u, level)
+            distinct, which = (q, of[inside - 1]) if level == 2 else np.unique(u, return_inverse=True)
+            ctx = self.contexts(distinct, level)[which]
             known = ctx[:, 0] > 0
             at, u, ctx = inside[known], u[known], ctx[known]
             if len(at):
