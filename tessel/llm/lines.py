@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, written
+from .runtime import discard, prepare, written
 from .text import Words, mix64, run_hash, sequence_sums, signed, word_power, word_runs
 
 #: Lines of fewer words are compared by characters, and if they have fewer characters than MIN_CHARS for equality only.
@@ -212,6 +212,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doubled = classes.select(F.col("h").alias("ch"), "first", "last").join(best, F.col("ch") == F.col("bh"), "left").where("first <> last or partner is not null")
     # written, so that the last join has a plain exchange on either side and hot classes are split
     doubled = written(doubled.select("ch", "first", "partner"), "line-doubles")
+    discard(classes, rows)
     hit = lines.join(doubled, lines.h == F.col("ch"))
     keeper = F.least("first", F.coalesce("partner", "first"))
     out = hit.withColumn("keeper", keeper).where("keeper < struct(doc_id, line_no)")

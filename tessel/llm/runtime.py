@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes handed to Python at once; texts can be long, so batches stay small.
 ARROW_ROWS = 512
 ARROW_BYTES = 64 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -54,11 +55,14 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    if name != "round":
-        # Spark deletes shuffle files once the driver's collector has seen that nothing refers to them; a driver with
-        # little to do collects seldom, and the files of every step would stay on the executors' disks
-        spark.sparkContext._jvm.System.gc()
+    # nothing else runs ``df``, so the files of its shuffles can go as soon as the table is there; otherwise they stay on
+    # the executors' disks until the driver's garbage collector comes upon them
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessel_path = path
     return out
