@@ -25,7 +25,7 @@ class Hint:
 
 
 def _right(x: DataFrame, hint: Hint) -> DataFrame:
-    if hint.small_right and int(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= hint.max_broadcast_bytes:
+    if hint.small_right and int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= hint.max_broadcast_bytes:
         return F.broadcast(x)
     return x
 
