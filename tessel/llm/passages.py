@@ -31,7 +31,7 @@ from .text import Words, mix64, run_hash, sequence_sums, signed, word_runs
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-#: Paragraphs with fewer words are left alone.
+#: Paragraphs with fewer words are left alone; those of fewer than SHINGLE words are only ever compared for equality.
 MIN_WORDS = 20
 #: Any shared run of so many words is found; windows of WINDOW words are compared.
 GUARANTEE = 50
@@ -129,14 +129,19 @@ def _units(min_words: int, bands: int, rows: int, window: int, guarantee: int):
                 first, last, number = line_groups(w)
                 keep = last - first >= min_words
                 first, last, number = first[keep], last[keep], number[keep]
-                if len(first):
-                    n = last - first
-                    many = n - SHINGLE + 1
-                    begin = np.concatenate(([0], np.cumsum(many)[:-1]))
-                    k = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(begin, many)
-                    keys = band_keys(mix64(run_hash(sums, k, k + SHINGLE)), begin, bands, rows)
-                    d = w.doc[first]
-                    yield rows_of(0, who.take(pa.array(lo + d)), number, at(w.start[first], d), at(w.end[last - 1], d), n, sealed(run_hash(sums, first, last), n), keys)
+                # a paragraph without a shingle is compared for equality only, so it needs no bands
+                for long in (True, False):
+                    of = (last - first >= SHINGLE) == long
+                    f, l = first[of], last[of]
+                    if not len(f):
+                        continue
+                    n, d, keys = l - f, w.doc[f], None
+                    if long:
+                        many = n - SHINGLE + 1
+                        begin = np.concatenate(([0], np.cumsum(many)[:-1]))
+                        k = np.repeat(f, many) + np.arange(int(many.sum())) - np.repeat(begin, many)
+                        keys = band_keys(mix64(run_hash(sums, k, k + SHINGLE)), begin, bands, rows)
+                    yield rows_of(0, who.take(pa.array(lo + d)), number[of], at(w.start[f], d), at(w.end[l - 1], d), n, sealed(run_hash(sums, f, l), n), keys)
                 bounds = w.bounds()
                 f, l = bounds[:-1], np.maximum(bounds[:-1], bounds[1:] - window + 1)
                 usable = np.arange(max(0, len(w.start) - window + 1))
@@ -297,7 +302,8 @@ def _forest(threshold: float):
 def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS, guarantee: int = GUARANTEE, window: int = WINDOW, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Places of duplicate text: ``doc_id, kind, unit, start, end, n_words, group_doc_id, group_unit, removed``.
 
-    ``kind`` is paragraph (a line of at least ``min_words`` words, ``unit`` its number) or passage (a chain of windows
+    ``kind`` is paragraph (a line of at least ``min_words`` words, ``unit`` its number; one of fewer than 5 words has no
+    shingle and is compared for equality) or passage (a chain of windows
     picked by winnowing, ``unit`` the number of its first window's first word); ``start`` and ``end`` are character
     offsets in the whole text. A passage's span is its windows, all that lies between them, and the words at either end, up to
     ``guarantee`` - ``window`` of them, that are equal around the group's first place: a run of ``guarantee`` words holds

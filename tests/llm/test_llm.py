@@ -90,7 +90,7 @@ def brute_groups(texts, least=20):
         for k, line in enumerate(t.split("\n")):
             w = line.encode().lower().split()
             if len(w) >= least:
-                sets[d, k] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+                sets[d, k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
     up = {p: p for p in sets}
 
     def find(x):
@@ -129,6 +129,14 @@ def test_passages_equal_brute_force(spark, texts, docs):
         assert len(texts[r["doc_id"]][r["start"] : r["end"]].encode().split()) == r["n_words"]
 
 
+@pytest.mark.parametrize("least", [1, 5])
+def test_short_paragraphs_equal_brute_force(least, docs, texts):
+    got = passages.duplicate_passages(docs, min_words=least).where("kind = 'paragraph'").collect()
+    have = {(r["doc_id"], r["unit"]): (r["group_doc_id"], r["group_unit"]) for r in got}
+    assert have == brute_groups(texts, least)
+    assert any(r["n_words"] < (5 if least == 1 else 8) for r in got)
+
+
 def test_paragraph_chain_in_small_blocks(spark):
     rng = random.Random(5)
     base, rows = [f"v{k}" for k in range(60)], []
