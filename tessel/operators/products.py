@@ -44,12 +44,19 @@ def spmm(e: DataFrame, x: DataFrame, hint: Hint = Hint()) -> DataFrame:
     return _joined(e, x, hint).groupBy("i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
-def spmm_rows(e: DataFrame, x: DataFrame, width: int, hint: Hint = Hint()) -> DataFrame:
-    """M1 in row form: one row per i shuffles after partial sums of all ``width`` columns."""
-    at = [F.element_at("x", k + 1) for k in range(width)]
-    sums = [F.sum(F.col("v") * a).alias(f"_{k}") for k, a in enumerate(at)]
-    c = _joined(e, x, hint).groupBy("i").agg(*sums)
-    return c.select("i", F.array(*[f"_{k}" for k in range(width)]).alias("x"))
+def spmm_rows(e: DataFrame, x: DataFrame, width: int, hint: Hint = Hint(), block: int = 128) -> DataFrame:
+    """M1 in row form: one row per i shuffles after partial sums of all ``width`` columns. Rows wider than ``block`` are
+    summed in blocks of columns, one row per i and block, so that generated code keeps its size; a second grouping by i,
+    of sums only, puts a row's blocks together."""
+    c = _joined(e, x, hint)
+    sums = [F.sum(F.col("v") * F.get("x", F.lit(k))).alias(f"_{k}") for k in range(min(width, block))]
+    row = F.array(*[f"_{k}" for k in range(min(width, block))])
+    if width <= block:
+        return c.groupBy("i").agg(*sums).select("i", row.alias("x"))
+    parts = F.array(*(F.slice("x", at + 1, min(block, width - at)) for at in range(0, width, block)))
+    blocks = c.select("i", "v", F.posexplode(parts).alias("_b", "x")).groupBy("i", "_b").agg(*sums)
+    packed = blocks.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("_b", row.alias("x")))).alias("_r"))
+    return packed.select("i", F.slice(F.flatten("_r.x"), 1, width).alias("x"))
 
 
 def as_operand(c: DataFrame) -> DataFrame:

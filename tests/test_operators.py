@@ -58,7 +58,11 @@ def test_products(spark, e):
         assert np.allclose(matrix(P.spmm_spmm_tile_fused(e, x, tile), (N, 3)), A @ A @ X)
     assert P.spmm(e, x).where("i = 3").count() == 0 and P.dense_rows(P.spmm(e, x), N, 3).count() == N * 3
     rows = spark.createDataFrame([(i, X[i].tolist()) for i in range(N)], "j long, x array<double>")
-    assert np.allclose(matrix(P.long_of(P.spmm_rows(e, rows, 3), "i"), (N, 3)), A @ X)
+    for block in (1, 2, 3, 128):
+        assert np.allclose(matrix(P.long_of(P.spmm_rows(e, rows, 3, block=block), "i"), (N, 3)), A @ X)
+    wide = np.arange(N * 700).reshape(N, 700) / 64.0
+    wide_rows = spark.createDataFrame([(i, wide[i].tolist()) for i in range(N)], "j long, x array<double>")
+    assert np.allclose(matrix(P.long_of(P.spmm_rows(e, wide_rows, 700), "i"), (N, 700)), A @ wide)
     s = A != 0
     assert np.allclose(matrix(P.sddmm(e, rows, rows), (N, N), k="j", x="v"), A * (X @ X.T))
     assert np.allclose(matrix(P.sampled_addmm(e, rows, rows), (N, N), k="j", x="v"), (A + X @ X.T) * s)
