@@ -41,6 +41,10 @@ FLUSH = 4_000_000
 SHORT = np.uint64(16)
 #: Counts of a pair are a byte; greater ones are in a list.
 CAP = 255
+#: Shards, as a power of 2, up to which counting tasks send to shards at once; beyond, by way of groups of shards.
+DIRECT_BITS = 10
+#: Files that a scoring task has mapped at once; the first mapped goes when there are more.
+MAPS = 8_192
 
 
 def pack(*cols: np.ndarray) -> bytes:
@@ -104,14 +108,72 @@ def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The shards that occur in an ascending array, each with the bounds of its run."""
+    first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.empty(0, np.int64)
+    yield from zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)])
+
+
+def _cut(k: np.ndarray, n: np.ndarray, at: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
+    """Ascending keys and their counts by shard of the hashes ``at``."""
+    return [(s, pack(k[a:b], n[a:b].astype(np.uint32))) for s, a, b in _runs(_shard(at, bits))]
+
+
+def _word_blobs(parts: list[list[np.ndarray]], bits: int) -> list[tuple[int, bytes]]:
+    k, n, _ = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+    return _cut(k, n, k, bits)
+
+
+def _before_blobs(parts: list[list[np.ndarray]], bits: int) -> list[tuple[int, bytes]]:
+    w, c, _ = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+    return _cut(w, c, w << SHORT, bits)
+
+
+def _pair_blobs(hot: np.ndarray):
+    def blobs(parts: list[list[np.ndarray]], bits: int) -> list[tuple[int, bytes]]:
+        chain, v, n = _joined(parts)
+        _, n, at = summed(mix64(chain[0] * _PAIR + v), n)
+        return _blobs([c[at] for c in chain], v[at], n, bits, hot)
+
+    return blobs
+
+
+def _joined(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Contexts, second words and counts of packed pairs, one after another."""
+    chain = [np.concatenate([np.repeat(p[c], p[-3].astype(np.int64)) for p in parts]) for c in range(len(parts[0]) - 3)]
+    return chain, np.concatenate([p[-2] for p in parts]), np.concatenate([p[-1] for p in parts]).astype(np.int64)
+
+
+def _dealt_on(blobs, bits: int):
+    """Blobs of a group of shards, taken together and sent to the shards themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def send():
+            out = blobs(held, bits)
+            return pa.record_batch([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "blob"])
+
+        for b in batches:
+            for x in b.column(1).to_pylist():
+                held.append(unpack(x))
+                size += len(held[-1][-1])
+                if size >= FLUSH:
+                    yield send()
+                    held, size = [], 0
+        if size:
+            yield send()
+
+    return run
+
+
 def _count_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def send():
             k, n, _ = summed(np.concatenate(held), np.ones(size, np.int64))
-            cuts = np.searchsorted(_shard(k, bits), np.arange((1 << bits) + 1))
-            blobs = [(s, pack(k[a:b], n[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            blobs = _cut(k, n, k, bits)
             return pa.record_batch([pa.array([s for s, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=["shard", "blob"])
 
         for b in batches:
@@ -161,14 +223,12 @@ def _blobs(chain: list[np.ndarray], v: np.ndarray, n: np.ndarray, bits: int, hot
     shard = np.where(np.isin(u, hot), _shard(mix64(u * _PAIR + v), bits), _shard(u, bits))
     order = np.lexsort((u, shard))
     chain, v, n, shard = [c[order] for c in chain], v[order], n[order], shard[order]
-    cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
     out = []
-    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if b > a:
-            u = chain[0][a:b]
-            first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-            runs = np.diff(np.concatenate((first, [b - a]))).astype(np.uint32)
-            out.append((s, pack(*(c[a:b][first] for c in chain), runs, v[a:b], n[a:b].astype(np.uint32))))
+    for s, a, b in _runs(shard):
+        u = chain[0][a:b]
+        first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+        runs = np.diff(np.concatenate((first, [b - a]))).astype(np.uint32)
+        out.append((s, pack(*(c[a:b][first] for c in chain), runs, v[a:b], n[a:b].astype(np.uint32))))
     return out
 
 
@@ -211,9 +271,8 @@ def _merge_pairs(files: SharedFiles, bits: int, hot: np.ndarray, below: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _by_shard(batches):
-            chain = [np.concatenate([np.repeat(p[c], p[-3].astype(np.int64)) for p in parts]) for c in range(level - 1)]
-            v = np.concatenate([p[-2] for p in parts])
-            g, n, at = summed(mix64(chain[0] * _PAIR + v), np.concatenate([p[-1] for p in parts]).astype(np.int64))
+            chain, v, n = _joined(parts)
+            g, n, at = summed(mix64(chain[0] * _PAIR + v), n)
             chain, v = [c[at] for c in chain], v[at]
             big = np.flatnonzero(n >= CAP)
             files.write(f"pair{level}-{shard}", g.tobytes())
@@ -233,8 +292,7 @@ def _merge_pairs(files: SharedFiles, bits: int, hot: np.ndarray, below: np.ndarr
                 rows += [(2, s, x) for s, x in _blobs([x[at] for x in chain[1:]], v[at], c, bits, below)]
             else:
                 w, c, _ = summed(v, np.ones(len(v), np.int64))
-                cuts = np.searchsorted(_shard(w << SHORT, bits), np.arange((1 << bits) + 1))
-                rows += [(2, s, pack(w[a:b], c[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                rows += [(2, s, x) for s, x in _cut(w, c, w << SHORT, bits)]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int8(), pa.int32(), pa.binary()))], names=names)
 
     return run
@@ -280,10 +338,12 @@ class Model:
     hot: dict[int, list[int]]
 
 
-def fit(texts: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+def fit(texts: DataFrame, text_col: str = "text", order: int = 2, direct_bits: int = DIRECT_BITS) -> Model:
     """Count all rows of ``texts`` and write the model's arrays to the shared folder.
 
-    ``order`` is the length of the n-grams, 2 or more. Null texts are empty: an end token only. No rows give a model in
+    ``order`` is the length of the n-grams, 2 or more. There are about two shards to an input split. Above
+    2**``direct_bits`` of them, tasks send to groups of shards, about the square root of their number, whose blobs are
+    taken together and sent on; so blobs do not shrink to a few entries as splits grow in number. Null texts are empty: an end token only. No rows give a model in
     which every token has probability 1 / (V + 1) = 1.
     """
     if order < 2:
@@ -296,14 +356,26 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     sharded = "shard int, blob binary"
     # a task merges two neighbouring shards, whatever the session's number of shuffle partitions
     sort = lambda df: df.repartitionById(1 << (bits - 1), F.shiftright("shard", 1)).sortWithinPartitions("shard")
-    words = sort(src.mapInArrow(_count_words(bits), sharded)).mapInArrow(_merge_words(files, 64), "shard int, types long, tokens long, top array<long>, top_n array<long>").collect()
+    coarse = bits if bits <= direct_bits else (bits + 1) // 2
+
+    def to_shards(df: DataFrame, blobs) -> DataFrame:
+        if coarse < bits:
+            # a group's blobs are shared out by the task that sent them, over as many tasks as merge shards
+            ways = 1 << max(0, bits - 1 - coarse)
+            task = F.col("shard") * ways + F.pmod(F.spark_partition_id(), F.lit(ways))
+            df = df.withColumn("task", task).repartitionById((1 << coarse) * ways, "task").select("shard", "blob").mapInArrow(_dealt_on(blobs, bits), sharded)
+        return sort(df)
+
+    words = to_shards(src.mapInArrow(_count_words(coarse), sharded), _word_blobs).mapInArrow(_merge_words(files, 64), "shard int, types long, tokens long, top array<long>, top_n array<long>").collect()
     n_tokens, n_types = sum(r["tokens"] for r in words), sum(r["types"] for r in words)
     limit = n_tokens / (4 << bits)
     hot = np.array(sorted(k for r in words for k, n in zip(r["top"], r["top_n"]) if n > limit), np.int64).view(np.uint64)
-    counted, above, found, pair_types = src.mapInArrow(_count_pairs(bits, hot if order == 2 else hot[:0], order), sharded), None, [], 0
+    counted, above, found, pair_types = src.mapInArrow(_count_pairs(coarse, hot if order == 2 else hot[:0], order), sharded), None, [], 0
     stats: dict[int, np.ndarray] = {}
     for level in range(order, 1, -1):
-        merged = written(sort(counted).mapInArrow(_merge_pairs(files, bits, hot if level == 2 else hot[:0], hot if level == 3 else hot[:0], level), "kind byte, shard int, blob binary"), "kneser-pairs", "none")
+        spread = hot if level == 2 else hot[:0]
+        pairs = to_shards(counted, _pair_blobs(spread))
+        merged = written(pairs.mapInArrow(_merge_pairs(files, coarse, spread, hot if level == 3 else hot[:0], level), "kind byte, shard int, blob binary"), "kneser-pairs", "none")
         if above is not None:
             discard(above)
         above = merged
@@ -318,7 +390,7 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         found.insert(0, discounts(tally[:4].tolist()))
         pair_types = int(tally[4])
         counted = merged.where("kind = 2").select("shard", "blob")
-    before = sort(counted).mapInArrow(_merge_before(files), "tally binary").collect()
+    before = to_shards(counted, _before_blobs).mapInArrow(_merge_before(files), "tally binary").collect()
     discard(above)
     words_tally = np.sum([json.loads(bytes(r["tally"])) for r in before], axis=0, dtype=np.int64) if before else np.zeros(5, np.int64)
     return Model(files, order, bits, n_tokens, n_types, found, discounts(words_tally[:4].tolist()), words_tally[[0, 1, 4]].tolist(), pair_types, {k: v.tolist() for k, v in stats.items()})
@@ -336,6 +408,8 @@ class Scorer:
     def arr(self, name: str, shard: int, kind) -> np.ndarray:
         key = (name, shard)
         if key not in self.open:
+            if len(self.open) >= MAPS:
+                self.open.pop(next(iter(self.open)))
             try:
                 self.open[key] = self.m.files.map(f"{name}-{shard}").view(kind)
             except FileNotFoundError:
@@ -353,10 +427,7 @@ class Scorer:
     def words(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count, and words before, of ascending distinct words."""
         c, before = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-        cuts = np.searchsorted(_shard(q, self.m.bits), np.arange((1 << self.m.bits) + 1))
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b == a:
-                continue
+        for s, a, b in _runs(_shard(q, self.m.bits)):
             k, ok = self.find("word", s, q[a:b])
             if ok.any():
                 c[a:b][ok] = self.arr("count", s, np.int64)[k[ok]]
@@ -368,12 +439,10 @@ class Scorer:
     def contexts(self, q: np.ndarray, level: int) -> np.ndarray:
         """Statistics of ascending distinct contexts of a level; those that never were have a total of 0."""
         stats = np.zeros((len(q), 4), np.int64)
-        cuts = np.searchsorted(_shard(q, self.m.bits), np.arange((1 << self.m.bits) + 1))
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b > a:
-                k, ok = self.find(f"ctx{level}", s, q[a:b])
-                if ok.any():
-                    stats[a:b][ok] = self.arr(f"stats{level}", s, np.uint32).reshape(-1, 4)[k[ok]]
+        for s, a, b in _runs(_shard(q, self.m.bits)):
+            k, ok = self.find(f"ctx{level}", s, q[a:b])
+            if ok.any():
+                stats[a:b][ok] = self.arr(f"stats{level}", s, np.uint32).reshape(-1, 4)[k[ok]]
         if level == 2 and self.m.hot:
             hot = np.array(sorted(self.m.hot), np.uint64)
             k = np.searchsorted(q, hot)
@@ -389,10 +458,7 @@ class Scorer:
         hot = np.array(sorted(self.m.hot) if level == 2 else [], np.uint64)
         shard = np.where(np.isin(u, hot), _shard(g, self.m.bits), _shard(u, self.m.bits))
         order = np.lexsort((g, shard))
-        cuts = np.searchsorted(shard[order], np.arange((1 << self.m.bits) + 1))
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b == a:
-                continue
+        for s, a, b in _runs(shard[order]):
             at = order[a:b]
             k, ok = self.find(f"pair{level}", s, g[at])
             n = np.where(ok, self.arr(f"pairs{level}", s, np.uint8)[k] if ok.any() else 0, 0).astype(np.int64)

@@ -231,11 +231,13 @@ def brute_scores(train, score, order=2):
     return out
 
 
-@pytest.mark.parametrize("order", [3, 4])
-def test_model_of_higher_order(spark, texts, docs, monkeypatch, order):
+@pytest.mark.parametrize("order,direct", [(3, 10), (4, 10), (2, 1), (3, 2)])
+def test_model_of_higher_order_and_by_groups_of_shards(spark, texts, docs, monkeypatch, order, direct):
     monkeypatch.setattr(kneser, "FLUSH", 7_000)
+    monkeypatch.setattr(kneser, "MAPS", 5)
     train = {d: t for d, t in texts.items() if d % 7 != 2}
-    got = {r["doc_id"]: r for r in kneser.score(docs, kneser.fit(docs.where("doc_id % 7 <> 2"), order=order)).collect()}
+    model = kneser.fit(docs.where("doc_id % 7 <> 2").repartition(3), order=order, direct_bits=direct)
+    got = {r["doc_id"]: r for r in kneser.score(docs, model).collect()}
     for d, (n, known, total, base, score) in zip(texts, brute_scores(train.values(), texts.values(), order)):
         assert (got[d]["n_tokens"], got[d]["n_known"], got[d]["train_tokens"]) == (n, known, total)
         assert math.isclose(got[d]["base_score"], base, rel_tol=1e-9) and math.isclose(got[d]["score"], score, rel_tol=1e-9)
