@@ -1,7 +1,8 @@
-"""Near copies of whole documents: MinHash banding, then exact Jaccard similarity of 5-word shingles.
+"""Near copies of whole documents: SimHash of sets of 5-word shingles, then their exact Jaccard similarity.
 
-Documents with the same words collapse to a class. A pair at the threshold shares a band with probability of at least
-the recall; classes that share a band are compared exactly inside the bucket, and components of the links are groups.
+Documents with the same words collapse to a class. A pair at the threshold shares a segment of the fingerprints, and is
+near in them, with probability of at least the recall; such links make clusters. Inside a cluster classes are compared
+exactly, and components of the links that hold are groups.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .lines import sealed
-from .passages import BLOCK, BLOCK_WORDS, RECALL, SHINGLE, THRESHOLD, _forest, band_keys, bucket_members, tune_bands
+from .passages import BLOCK, BLOCK_WORDS, RECALL, SHINGLE, THRESHOLD, _forest, bucket_members
 from .runtime import prepare, written
+from .simhash import print_words, segment_links, set_prints, tune_segments
 from .text import Words, mix64, run_hash, sequence_sums, signed, word_runs
 
 
@@ -28,7 +30,7 @@ def _shingles(w: Words, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -
     return mix64(run_hash(sums, k, np.minimum(k + SHINGLE, np.repeat(last, many)))), begin
 
 
-def _units(bands: int, rows: int):
+def _units(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in word_runs(b.column(2)):
@@ -36,14 +38,19 @@ def _units(bands: int, rows: int):
                 first, last = bounds[:-1], bounds[1:]
                 n = last - first
                 sums = sequence_sums(w.hash)
-                keys = np.zeros((len(n), bands), np.uint64)
+                prints = np.empty((0, words), np.uint64)
                 has = np.flatnonzero(n)
                 if len(has):
-                    keys[has] = band_keys(*_shingles(w, sums, first[has], last[has]), bands, rows)
-                cuts = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(np.ascontiguousarray(keys[has])).ravel()))
+                    s, begin = _shingles(w, sums, first[has], last[has])
+                    text = np.repeat(np.arange(len(has)), np.diff(np.append(begin, len(s))))
+                    order = np.lexsort((s, text))
+                    s, text = s[order], text[order]
+                    once = np.concatenate(([True], (s[1:] != s[:-1]) | (text[1:] != text[:-1])))
+                    prints = set_prints(s[once], np.searchsorted(text[once], np.arange(len(has))), words)
+                cuts = np.concatenate(([0], np.cumsum(np.where(n > 0, words, 0)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(np.ascontiguousarray(prints)).ravel()))
                 own = b.slice(lo, hi - lo)
-                yield pa.record_batch([own.column(0), own.column(1), pa.array(n.astype(np.int64)), pa.array(signed(sealed(run_hash(sums, first, last), n))), lists], names=["doc_id", "fp", "words", "h", "bands"])
+                yield pa.record_batch([own.column(0), own.column(1), pa.array(n.astype(np.int64)), pa.array(signed(sealed(run_hash(sums, first, last), n))), lists], names=["doc_id", "fp", "words", "h", "print"])
 
     return run
 
@@ -70,15 +77,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     itself; of rows that repeat both, one stays.
     """
     prepare(docs.sparkSession)
-    bands, rows = tune_bands(threshold, recall)
+    segments, radius = tune_segments(threshold, recall)
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    units = written(src.mapInArrow(_units(bands, rows), f"doc_id {id_type}, fp long, words long, h long, bands array<long>"), "copies")
+    units = written(src.mapInArrow(_units(print_words(segments)), f"doc_id {id_type}, fp long, words long, h long, print array<long>"), "copies")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
-    classes = written(units.groupBy("h").agg(F.min(place).alias("first"), F.first("bands").alias("bands"), F.first("words").alias("words")), "copy-classes")
+    classes = written(units.groupBy("h").agg(F.min(place).alias("first"), F.first("print").alias("print"), F.first("words").alias("words")), "copy-classes")
 
-    members = written(bucket_members(classes.select(F.explode("bands").alias("key"), "h", "words"), block, block_words), "copy-buckets").withColumnRenamed("h", "mh")
+    texts = classes.where("words > 0")
+    near = connected_components(segment_links(texts, segments, radius)).select(F.col("node"), F.col("component").alias("cluster"))
+    mark = F.element_at("print", 1)  # classes that share it are one node
+    clusters = texts.select("h", "words", mark.alias("mark")).join(near, F.col("mark") == F.col("node"), "left").select(F.coalesce("cluster", "mark").alias("key"), "h", "words")
+    members = written(bucket_members(clusters, block, block_words), "copy-buckets").withColumnRenamed("h", "mh")
     wanted = classes.join(members.select(F.col("mh").alias("h")).distinct(), "h").select(F.col("first.doc_id").alias("wd"), F.col("first.fp").alias("wf"))
     sets = src.join(wanted, src.doc_id.eqNullSafe(F.col("wd")) & (src.fp == F.col("wf"))).select("text").mapInArrow(_sets, "h long, shingles array<long>").dropDuplicates(["h"])
     ready = members.join(sets, F.col("mh") == F.col("h")).select("key", "sub", "h", "shingles")
