@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once; a longer single text is one piece, whose bytes are hashed in as long runs of words.
+#: Bytes of text worked on at once; a longer single text is one piece.
 CHUNK_BYTES = 1 << 21
+#: Bytes hashed at once, in runs of words: their 64-bit sums and powers then stay small beside the text's own arrays.
+HASH_BYTES = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1
@@ -128,7 +130,7 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> Words:
     h = np.empty(len(start), np.uint64)
     lo = 0
     while lo < len(start):  # 24 bytes of memory for a byte of text, so in runs of words
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + CHUNK_BYTES, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + HASH_BYTES, side="right")))
         at, size = start[lo], int(end[hi - 1] - start[lo])
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(_byte_values()[buf[at : at + size]] * powers(_BASE, size), out=sums[1:])
