@@ -75,13 +75,30 @@ def spmm_spmm_rows(a: DataFrame, b: DataFrame, x: DataFrame, width: int, hint: H
     return spmm_rows(b, as_operand(spmm_rows(a, x, width, hint)), width, hint)
 
 
+def packed_cells(x: DataFrame, *keys: str) -> DataFrame:
+    """Long form with one row per ``keys``: its columns ``_k`` and values ``_x``. A missing cell stays missing."""
+    r = x.groupBy(*keys).agg(F.collect_list(F.struct("k", "x")).alias("_r"))
+    return r.select(*keys, F.col("_r.k").alias("_k"), F.col("_r.x").alias("_x"))
+
+
+def unpacked_cells(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "_k", F.posexplode("_x").alias("_p", "x")).select(*keys, F.get("_k", F.col("_p")).alias("k"), "x")
+
+
 def spmm_spmm_tile_fused(a: DataFrame, x: DataFrame, tile: int) -> DataFrame:
-    """M2 with B = A and tile-fused partials: rows of the first product are copied to the tiles that need them, so that
-    the second product's sums are taken where the rows are made (the redundant schedule: halo rows are recomputed)."""
-    need = a.select(F.floor(F.col("i") / tile).alias("t"), F.col("j").alias("r")).distinct()
-    made = need.join(a.select(F.col("i").alias("r"), "j", "v"), "r").join(x, "j").groupBy("t", "r", "k").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
-    second = a.select(F.floor(F.col("i") / tile).alias("t"), "i", F.col("j").alias("r"), "v").join(made, ["t", "r"])
-    return second.groupBy("i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+    """M2 with B = A, by tiles of rows: a row of an operand is copied once to each tile that needs it, whole, with the
+    tile's entries for it, and the tile takes its sums there. Rows of the first product are made once, by their own tile,
+    and copied like those of X: making halo rows again in each tile multiplies A's entries by the tiles that need them."""
+    t = F.floor(F.col("i") / tile).alias("_t")
+    uses = a.groupBy(t, "j").agg(F.collect_list(F.struct("i", "v")).alias("_u"))
+
+    def sums(rows: DataFrame) -> DataFrame:
+        there = uses.join(rows, "j").repartition("_t").select("_t", F.explode("_u").alias("_u"), "_k", "_x")
+        cells = unpacked_cells(there.select("_t", "_u.i", "_u.v", "_k", "_x"), "_t", "i", "v")
+        return cells.groupBy("_t", "i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+
+    made = packed_cells(sums(packed_cells(x, "j")), "_t", "i").select(F.col("i").alias("j"), "_k", "_x")
+    return sums(made).select("i", "k", "x")
 
 
 def spmv(e: DataFrame, x: DataFrame, hint: Hint = Hint()) -> DataFrame:
