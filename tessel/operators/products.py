@@ -39,9 +39,30 @@ def _joined(e: DataFrame, x: DataFrame, hint: Hint) -> DataFrame:
     return e.join(_right(x, hint), "j")
 
 
+def packed_cells(x: DataFrame, *keys: str) -> DataFrame:
+    """Long form with one row per ``keys``: its columns ``_k`` and values ``_x``. A missing cell stays missing."""
+    r = x.groupBy(*keys).agg(F.collect_list(F.struct("k", "x")).alias("_r"))
+    return r.select(*keys, F.col("_r.k").alias("_k"), F.col("_r.x").alias("_x"))
+
+
+def unpacked_cells(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "_k", F.posexplode("_x").alias("_p", "x")).select(*keys, F.get("_k", F.col("_p")).alias("k"), "x")
+
+
+def cells_by_row(e: DataFrame, x: DataFrame, hint: Hint = Hint()) -> DataFrame:
+    """Each entry of ``i, j, v`` with the cells of its operand row, ``i, _s, v, k, x``, dealt out by i (and the salt _s): a
+    task holds the sums of its own rows only, where sums taken before a shuffle by i are of nearly every row in each task."""
+    salt = F.pmod(F.xxhash64("j"), F.lit(hint.salt)).cast("int")
+    there = _joined(e, packed_cells(x, "j"), hint).select("i", salt.alias("_s"), "v", "_k", "_x")
+    return unpacked_cells(there.repartition(*(["i", "_s"] if hint.salt > 1 else ["i"])), "i", "_s", "v")
+
+
 def spmm(e: DataFrame, x: DataFrame, hint: Hint = Hint()) -> DataFrame:
     """M1: ``C[i,k] = sum_j A[i,j] X[j,k]`` in long form (``i, k, x``)."""
-    return _joined(e, x, hint).groupBy("i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+    c = cells_by_row(e, x, hint)
+    if hint.salt > 1:
+        return c.groupBy("i", "_s", "k").agg(F.sum(F.col("v") * F.col("x")).alias("x")).groupBy("i", "k").agg(F.sum("x").alias("x"))
+    return c.groupBy("i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
 def spmm_rows(e: DataFrame, x: DataFrame, width: int, hint: Hint = Hint(), block: int = 128) -> DataFrame:
@@ -75,16 +96,6 @@ def spmm_spmm_rows(a: DataFrame, b: DataFrame, x: DataFrame, width: int, hint: H
     return spmm_rows(b, as_operand(spmm_rows(a, x, width, hint)), width, hint)
 
 
-def packed_cells(x: DataFrame, *keys: str) -> DataFrame:
-    """Long form with one row per ``keys``: its columns ``_k`` and values ``_x``. A missing cell stays missing."""
-    r = x.groupBy(*keys).agg(F.collect_list(F.struct("k", "x")).alias("_r"))
-    return r.select(*keys, F.col("_r.k").alias("_k"), F.col("_r.x").alias("_x"))
-
-
-def unpacked_cells(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, "_k", F.posexplode("_x").alias("_p", "x")).select(*keys, F.get("_k", F.col("_p")).alias("k"), "x")
-
-
 def spmm_spmm_tile_fused(a: DataFrame, x: DataFrame, tile: int) -> DataFrame:
     """M2 with B = A, by tiles of rows: a row of an operand is copied once to each tile that needs it, whole, with the
     tile's entries for it, and the tile takes its sums there. Rows of the first product are made once, by their own tile,

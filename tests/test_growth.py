@@ -45,3 +45,22 @@ def test_tiles_of_a_sparse_operand(spark):
     e = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0), (1, 2, 1.0), (2, 0, 5.0)], "i long, j long, v double")
     x = spark.createDataFrame([(1, 0, 1.0), (2, 7, 10.0)], "j long, k long, x double")
     assert sorted(map(tuple, P.spmm_spmm_tile_fused(e, x, 2).collect())) == sorted(map(tuple, P.spmm_spmm(e, e, x).collect())) == [(0, 7, 80.0), (2, 0, 10.0)]
+
+
+def spread_edges(spark, n):
+    """In partitions that each have entries of every row."""
+    return dense_edges(spark, n).repartition(4, "j")
+
+
+def test_a_task_sums_its_own_rows_only(spark):
+    n, width = 40, 5
+    e, x = spread_edges(spark, n), long_x(spark, n, width)
+    assert max(made_rows(P.spmm(e, x), "HashAggregate")) <= n * width
+    assert max(made_rows(P.spmm(e, x, P.Hint(salt=3)), "HashAggregate")) <= 3 * n * width
+
+
+def test_products_of_a_sparse_operand_with_salt(spark):
+    e = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0), (1, 2, 1.0), (2, 0, 5.0), (1, 1, 1.0)], "i long, j long, v double")
+    x = spark.createDataFrame([(1, 0, 1.0), (2, 7, 10.0)], "j long, k long, x double")
+    for salt in (1, 4):
+        assert sorted(map(tuple, P.spmm(e, x, P.Hint(salt=salt)).collect())) == [(0, 0, 2.0), (1, 0, 1.0), (1, 7, 40.0)]
