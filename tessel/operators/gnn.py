@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .products import Hint, as_operand, gemm, relu, spmm, vec_dot
+from .products import Hint, as_operand, cells_by_row, gemm, relu, spmm, vec_dot
 from .structure import mask_rows, replayable, row_degree, transpose
 
 
@@ -102,7 +102,7 @@ def mean_aggregate(e: DataFrame, x: DataFrame, num_sample: int | None = None, gc
     near = sample_neighbours(e, num_sample, seed).select("i", "j")
     if gcn:
         near = near.union(e.select("i", F.col("i").alias("j"))).distinct()
-    return near.join(x, "j").groupBy("i", "k").agg(F.avg("x").alias("x"))
+    return cells_by_row(near.withColumn("v", F.lit(1.0)), x).groupBy("i", "k").agg(F.avg("x").alias("x"))
 
 
 def sage_layer(e: DataFrame, x: DataFrame, w: DataFrame, in_dim: int, num_sample: int | None = None, gcn: bool = False, seed: int = 0, activation: str | None = "relu") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tessel.operators import gnn as G
 from tessel.operators import products as P
 
 
@@ -64,3 +65,12 @@ def test_products_of_a_sparse_operand_with_salt(spark):
     x = spark.createDataFrame([(1, 0, 1.0), (2, 7, 10.0)], "j long, k long, x double")
     for salt in (1, 4):
         assert sorted(map(tuple, P.spmm(e, x, P.Hint(salt=salt)).collect())) == [(0, 0, 2.0), (1, 0, 1.0), (1, 7, 40.0)]
+
+
+def test_a_task_averages_its_own_rows_only(spark):
+    n, width = 40, 5
+    e, x = spread_edges(spark, n), long_x(spark, n, width)
+    assert max(made_rows(G.mean_aggregate(e, x), "HashAggregate")) <= n * width
+    sparse = spark.createDataFrame([(1, 0, 1.0), (2, 0, 3.0), (2, 7, 10.0)], "j long, k long, x double")
+    near = spark.createDataFrame([(0, 1), (0, 2), (3, 4)], "i long, j long")
+    assert sorted(map(tuple, G.mean_aggregate(near, sparse).collect())) == [(0, 0, 2.0), (0, 7, 10.0)]
