@@ -43,19 +43,35 @@ def jacobi_solve(e: DataFrame, b: DataFrame, eps: float = 1e-30, max_iter: int =
     Returns the iterate and the number of the step after which it settled (0 if it did not). ``fused`` runs two steps
     for each test, and so settles at an even count of them.
     """
-    diag, off = (d.persist() for d in split_diagonal(e))
-    x, old = cut(b.join(diag, "i").select("i", "c", (F.col("x") / F.col("d")).alias("x"))), None
+    columns = sorted(r["c"] for r in b.select("c").distinct().collect())
+    if not columns:
+        return b.select("i", "c", "x"), 2 if max_iter > 0 else 0
+    at = range(len(columns))
+    diag, off = split_diagonal(e)
+    # entries are dealt out once, by the row of the iterate that they meet; such a row holds all columns of the block
+    off = off.select("i", "j", "v").repartition(max(1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "j").persist()
+    rhs = F.array(*(F.max(F.when(F.col("c") == F.lit(c), F.col("x"))) for c in columns)).alias("b")
+    fixed = b.join(diag, "i").groupBy("i").agg(F.first("d").alias("d"), rhs)
+    first = F.transform("b", lambda r: r / F.col("d"))
+    state = cut(fixed.select("i", "d", "b", first.alias("x"), first.alias("was")))
+
+    def step(s: DataFrame) -> DataFrame:
+        """One more iterate; cells that the right-hand side lacks stay null."""
+        met = off.join(s.select(F.col("i").alias("j"), F.col("x").alias("_x")), "j")
+        rx = met.groupBy("i").agg(F.array(*(F.sum(F.col("v") * F.get("_x", F.lit(k))) for k in at)).alias("_rx"))
+        now = F.transform("b", lambda r, k: (r - F.coalesce(F.get("_rx", k), F.lit(0.0))) / F.col("d"))
+        return s.join(rx, "i", "left").select("i", "d", "b", now.alias("_now"), F.col("x").alias("was")).withColumnRenamed("_now", "x")
+
+    apart = F.array_max(F.zip_with("x", "was", lambda p, q: F.abs(p - q)))
     done, i = 0, 0
     while i < max_iter:
         # the iterate and the one before it are written together, so that neither is made again for the residual
-        was = jacobi_step(off, diag, b, x) if fused else x
-        now = jacobi_step(off, diag, b, was).withColumnRenamed("x", "_now")
-        both = cut(now.join(was, ["i", "c"], "left").select("i", "c", F.col("_now").alias("x"), F.coalesce("x", F.lit(0.0)).alias("was")), old)
-        x, old = both.select("i", "c", "x"), both
+        state = cut(step(step(state)) if fused else step(state), state)
         i += 2 if fused else 1
-        if both.agg(F.coalesce(F.max(F.abs(F.col("x") - F.col("was"))), F.lit(0.0))).first()[0] < eps:
+        if state.agg(F.coalesce(F.max(apart), F.lit(0.0))).first()[0] < eps:
             done = i if fused else i + 1
             break
-    diag.unpersist()
     off.unpersist()
+    cells = F.explode(F.array(*(F.struct(F.lit(c).cast(b.schema["c"].dataType).alias("c"), F.get("x", F.lit(k)).alias("x")) for k, c in zip(at, columns))))
+    x = state.select("i", cells.alias("_c")).select("i", "_c.c", "_c.x").where("x is not null")
     return x, done

@@ -4,6 +4,7 @@ import numpy as np
 
 from tessel.operators import gnn as G
 from tessel.operators import products as P
+from tessel.operators import solver as J
 
 
 def made_rows(df, node):
@@ -74,3 +75,18 @@ def test_a_task_averages_its_own_rows_only(spark):
     sparse = spark.createDataFrame([(1, 0, 1.0), (2, 0, 3.0), (2, 7, 10.0)], "j long, k long, x double")
     near = spark.createDataFrame([(0, 1), (0, 2), (3, 4)], "i long, j long")
     assert sorted(map(tuple, G.mean_aggregate(near, sparse).collect())) == [(0, 0, 2.0), (0, 7, 10.0)]
+
+
+def test_an_entry_meets_all_columns_of_the_iterate_at_once(spark, monkeypatch):
+    n = 12
+    e = dense_edges(spark, n, lambda i, j: 1.0 if i == j else 1 / 64)
+    b = spark.createDataFrame([(i, c, float(i + c)) for i in range(n) for c in (3, 5) if (i, c) != (4, 5)], "i long, c int, x double")
+    seen, cut = [], J.cut
+    monkeypatch.setattr(J, "cut", lambda df, *old: seen.append(max(made_rows(df, "Join"))) or cut(df, *old))
+    x, done = J.jacobi_solve(e, b, eps=1e-12, max_iter=60)
+    assert done > 0 and max(seen) <= n * (n - 1)
+    got = {(r["i"], r["c"]): r["x"] for r in x.collect()}
+    a = np.full((n, n), 1 / 64) + np.eye(n) * (1 - 1 / 64)
+    assert np.allclose([got[i, 3] for i in range(n)], np.linalg.solve(a, np.arange(n) + 3.0))
+    own = [i for i in range(n) if i != 4]
+    assert len(got) == 2 * n - 1 and np.allclose([got[i, 5] for i in own], np.linalg.solve(a[np.ix_(own, own)], np.array(own) + 5.0))
