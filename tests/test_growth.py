@@ -1,10 +1,12 @@
 """How the work grows: rows that joins and sums make, and rounds of iterations."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessel.operators import gnn as G
 from tessel.operators import products as P
 from tessel.operators import solver as J
+from tessel.operators import structure as S
 
 
 def made_rows(df, node):
@@ -90,3 +92,16 @@ def test_an_entry_meets_all_columns_of_the_iterate_at_once(spark, monkeypatch):
     assert np.allclose([got[i, 3] for i in range(n)], np.linalg.solve(a, np.arange(n) + 3.0))
     own = [i for i in range(n) if i != 4]
     assert len(got) == 2 * n - 1 and np.allclose([got[i, 5] for i in own], np.linalg.solve(a[np.ix_(own, own)], np.array(own) + 5.0))
+
+
+def test_places_of_a_random_matrix_are_made_once(spark):
+    """Numbers beyond the generator's prime repeat, and rows are not summed before they are dealt out."""
+    prime = (1 << 31) - 1
+    ids = spark.createDataFrame([(k,) for k in (0, 1, 5, 10**6)], "id long")
+    for t in (1, 2):
+        same = S.replayable(F.col("id"), F.lit(t), seed=7) == S.replayable(F.col("id") + prime, F.lit(t), seed=7)
+        assert ids.where(same).count() == 4
+    plan = S.random_sparse(spark, 10**6, 0.01, 7)._jdf.queryExecution()
+    assert f"Range (0, {prime}," in plan.toString()
+    e = S.random_sparse(spark, 40, 0.9, 7)
+    assert max(made_rows(e, "HashAggregate")) == e.count() == e.select("i", "j").distinct().count()
