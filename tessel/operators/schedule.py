@@ -461,18 +461,29 @@ def layer_schedule(e1: DataFrame, e2: DataFrame, threads: int) -> DataFrame:
 
 
 def level_sets(dag: DataFrame, nodes: DataFrame, max_levels: int = 10_000) -> DataFrame:
-    """``i, level``: the longest path to each vertex of a DAG of edges j -> i, by rounds of maxima. ValueError on a
-    cycle, which never settles."""
+    """``i, level``: the longest path to each vertex of a DAG of edges j -> i. A vertex has its level when all before
+    it have theirs, so each edge is followed once, in the round of its start. ValueError on a cycle, whose vertices wait
+    for each other."""
     from tessel.session import cut
 
-    level, old = nodes.select("i", F.lit(0).alias("level")), None
-    for _ in range(max_levels):
-        up = dag.join(level.select(F.col("i").alias("j"), F.col("level").alias("_l")), "j").groupBy("i").agg((F.max("_l") + 1).alias("_m"))
-        higher = F.greatest("level", F.coalesce("_m", F.lit(0)))
-        new = cut(level.join(up, "i", "left").select("i", higher.alias("level"), (higher > F.col("level")).alias("moved")), old)
-        if new.where("moved").isEmpty():
-            return new.select("i", "level")
-        level, old = new.select("i", "level"), new
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = dag.join(nodes.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j").repartition(parts, "j").persist()
+    waits = edges.groupBy("i").agg(F.count("*").alias("waits"))
+    open_ = F.coalesce("waits", F.lit(0))
+    state = cut(nodes.join(waits, "i", "left").select("i", F.when(open_ == 0, 0).alias("level"), open_.alias("waits")))
+    try:
+        for at in range(max_levels):
+            left, front = state.agg(F.count_if(F.col("level").isNull()), F.count_if(F.col("level") == at)).first()
+            if not left:
+                return state.select("i", F.coalesce("level", F.lit(0)).alias("level"))
+            if not front:
+                break
+            met = edges.join(state.where(F.col("level") == at).select(F.col("i").alias("j")), "j").groupBy("i").agg(F.count("*").alias("_met"))
+            still = F.col("waits") - F.coalesce("_met", F.lit(0))
+            level = F.when(F.col("level").isNull() & (still == 0), at + 1).otherwise(F.col("level"))
+            state = cut(state.join(met, "i", "left").select("i", level.alias("level"), still.alias("waits")), state)
+    finally:
+        edges.unpersist()
     raise ValueError("levels do not settle: the graph has a cycle, or paths beyond max_levels")
 
 

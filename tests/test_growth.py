@@ -3,9 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessel import session
 from tessel.operators import gnn as G
 from tessel.operators import products as P
 from tessel.operators import solver as J
+from tessel.operators import schedule as T
 from tessel.operators import structure as S
 
 
@@ -105,3 +107,12 @@ def test_places_of_a_random_matrix_are_made_once(spark):
     assert f"Range (0, {prime}," in plan.toString()
     e = S.random_sparse(spark, 40, 0.9, 7)
     assert max(made_rows(e, "HashAggregate")) == e.count() == e.select("i", "j").distinct().count()
+
+
+def test_level_sets_follow_an_edge_once(spark, monkeypatch):
+    n = 14
+    dag = spark.createDataFrame([(i, j) for i in range(n) for j in range(i)], "i long, j long")
+    seen, cut = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda df, *old: seen.append(sum(made_rows(df, "Join"))) or cut(df, *old))
+    assert [r["level"] for r in T.level_sets(dag, spark.range(n).withColumnRenamed("id", "i")).orderBy("i").collect()] == list(range(n))
+    assert sum(seen) <= 3 * dag.count() + (n + 1) * n
